@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, leakage, neighbors, packing, splitting
+from corpusloom.llm import canonical, leakage, neighbors, packing, sentences, splitting
 from corpusloom.session import ship, table
 
 
+def p2_units(spark: SparkSession, folder: str) -> DataFrame:
+    """All sentence units with their text."""
+    ship(spark)
+    return sentences.sentence_units(table(spark, folder, "search_documents"), key="id", text="text").distinct()
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_units(spark, folder).select("id", "start_char", "end_char")
+
+
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar vectors of every usable vector of both fields."""
     ship(spark)
@@ -70,7 +80,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
+    for f in (p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
 }
 
 SQL: dict[str, str] = {}
