@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import canonical, leakage, neighbors, packing, sentences, splitting
+from corpusloom.llm import canonical, leakage, neighbors, packing, scans, sentences, splitting
 from corpusloom.session import ship, table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return scans.scanned_noise(table(spark, folder, "document_blocks"))
+
+
+def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as repaired paragraphs in reading order."""
+    ship(spark)
+    return scans.repaired_paragraphs(table(spark, folder, "document_blocks"))
+
+
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     """All sentence units with their text."""
     ship(spark)
@@ -16,7 +27,8 @@ def p2_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p2_units(spark, folder).select("id", "start_char", "end_char")
+    units = sentences.sentence_units(table(spark, folder, "search_documents"), key="id", text="text")
+    return units.select("id", "start_char", "end_char").distinct()
 
 
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,7 +92,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
+    for f in (p1_found, p1_paragraphs, p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
 }
 
 SQL: dict[str, str] = {}
