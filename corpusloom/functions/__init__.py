@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Scalar functions as Columns."""

@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Files and the snapshot store."""
