@@ -377,7 +377,7 @@ _STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 
 @query(rf"""
 with w as (select doc_id, list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_\-]+'), lambda x: length(x) > 2 and not list_contains([{_STOP}], x)) as w from documents),
-e as (select doc_id, w[i] as keyword, i from w, unnest(range(1, len(w) + 1)) as u(i))
+e as (select doc_id, w[i] as keyword, i from w, unnest(range(1, len(w) + 1)) as u(i)),
 g as (select doc_id, keyword, count(*) as n, min(i) as i from e group by all)
 select doc_id, keyword, n, row_number() over (partition by doc_id order by n desc, i) as rank from g qualify rank <= 20
 """)
