@@ -239,6 +239,7 @@ def canonical_arrays(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def canonical_batch(texts: pa.Array) -> pa.Array:
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
+    texts = texts.cast(pa.string())
     valid = np.asarray(texts.is_valid())
     if not valid.all():
         texts = texts.fill_null("")

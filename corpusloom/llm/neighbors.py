@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,8 +213,15 @@ def nearest_vectors(
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), f, np.int32)), batch.column(0).take(pa.array(at)), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), rows_binary(x)], names=["f", "id", "h1", "h2", "x"])
 
     units = base.mapInArrow(unit, f"f int, id {kind.simpleString()}, h1 long, h2 long, x binary")
-    # rows of one direction, found by key alone
+    # an id given with several vectors keeps the first; whole rows repeated meet again in their block
     keyed = units.select("f", "id", "h1", "h2")
+    key = F.struct("h1", "h2")
+    torn = keyed.groupBy("f", "id").agg(F.min(key).alias("k"), F.max(key).alias("last")).where("k <> last").select("f", "id", "k.h1", "k.h2")
+    if torn.limit(1).count():
+        first = units.join(torn, ["f", "id", "h1", "h2"], "left_semi")
+        units = units.join(torn.select("f", "id"), ["f", "id"], "left_anti").unionByName(first)
+        keyed = units.select("f", "id", "h1", "h2")
+    # rows of one direction, found by key alone
     classes = keyed.groupBy("f", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("f", "h1", "h2", "rep")
     members = keyed.join(small_side(classes), ["f", "h1", "h2"]).select("f", "rep", "id").distinct()
     others = members.where("id <> rep")
@@ -262,10 +270,12 @@ def nearest_vectors(
         def grow() -> Iterator[pa.RecordBatch]:
             nonlocal forest, all_ids
             x, all_ids = np.concatenate(rows), pa.concat_arrays(ids)
+            once = changes(all_ids)
+            x, all_ids = x[once], all_ids.filter(pa.array(once))
             forest = Forest(x, trees, leaf_rows, 11)
             yield from asked(x, all_ids, np.arange(len(x)))
 
-        all_ids = None
+        all_ids, last = None, None
         for batch in batches:
             blk, role = np.asarray(batch.column("block")), np.asarray(batch.column("role"))
             cuts = np.flatnonzero((np.diff(blk, prepend=-1) != 0) | (np.diff(role, prepend=-1) != 0))
@@ -273,7 +283,7 @@ def nearest_vectors(
                 if block != blk[a]:
                     if rows and forest is None:
                         yield from grow()
-                    block, ids, rows, forest = int(blk[a]), [], [], None
+                    block, ids, rows, forest, last = int(blk[a]), [], [], None, None
                 part = batch.slice(a, b - a)
                 x = binary_rows(part.column("x"), dimension)
                 if role[a] == 0:
@@ -282,7 +292,11 @@ def nearest_vectors(
                     continue
                 if rows and forest is None:
                     yield from grow()
-                if forest is not None:
+                once = changes(part.column("id"))
+                once[0] &= part.column("id")[0].as_py() != last
+                last = part.column("id")[-1].as_py()
+                part, x = part.filter(pa.array(once)), x[once]
+                if forest is not None and len(x):
                     yield from asked(x, part.column("id"), np.full(len(x), -1))
         if rows and forest is None:
             yield from grow()
@@ -314,6 +328,16 @@ def mutual_pairs(neighbors: DataFrame, least: float) -> DataFrame:
     return pair.groupBy("field_name", "id_a", "id_b").agg(F.countDistinct("up").alias("n")).where("n = 2").drop("n")
 
 
+def changes(ids: pa.Array) -> np.ndarray:
+    """True where a sorted id differs from the one before."""
+    if isinstance(ids, pa.ChunkedArray):
+        ids = ids.combine_chunks()
+    out = np.ones(len(ids), bool)
+    if len(ids) > 1:
+        out[1:] = np.asarray(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)))
+    return out
+
+
 def rows_binary(x: np.ndarray) -> pa.Array:
     width = x.shape[1] * 4
     ends = np.arange(len(x) + 1, dtype=np.int32) * width

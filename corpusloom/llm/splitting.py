@@ -69,11 +69,11 @@ def _snapped(n: int, m: int, levels: list[list[int]], allowed: int, limit: int)
     return cuts if n - last <= limit else None
 
 
-def _furthest(n: int, levels: list[list[int]], allowed: int, limit: int) -> list[int]:
-    """The furthest boundary each time: always succeeds at the item's own level."""
+def _furthest(n: int, levels: list[list[int]], limit: int) -> list[int]:
+    """The furthest boundary each time, the strongest kind within reach: at the item's own level but for white space over the limit."""
     cuts, last = [], 0
     while n - last > limit:
-        best = next((c[i - 1] for c in levels[: allowed + 1] if (i := bisect_right(c, last + limit)) and c[i - 1] > last), last + limit)
+        best = next((c[i - 1] for c in levels if (i := bisect_right(c, last + limit)) and c[i - 1] > last), last + limit)
         cuts.append(best)
         last = best
     return cuts
@@ -96,7 +96,7 @@ def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[str, l
     while m <= 3 * fewest and (cuts := _snapped(n, m, levels, allowed, limit)) is None:
         m += max(1, m // 8)
     if cuts is None:
-        cuts = _furthest(n, levels, allowed, limit)
+        cuts = _furthest(n, levels, limit)
     edges, words, pieces = [0, *cuts, n], levels[2], []
     for k, (a, b) in enumerate(zip(edges, edges[1:])):
         start = a
