@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import folded, identifiers, terms
-from corpusloom.session import small_side
+from corpusloom.functions.text import folded, identifiers, normal_form, terms
+from corpusloom.session import checkpointed, rows_within, small_side
+
+#: Most query terms sent to the executors as a set.
+TERMS = 1_000_000
 
 #: Weights of the fields of a chunk.
 FIELD_WEIGHTS = {"body": 1.0, "summary": 1.15, "keywords": 1.35, "titles": 1.8, "references": 1.6}
@@ -30,33 +38,66 @@ def bm25(queries: DataFrame, docs: DataFrame, *, fields: dict[str, Column | str]
     ``3 k`` documents and scores are added by weight. Document counts, document
     frequencies and lengths are those of the whole corpus, whatever ``allowed``
     (a frame of ids) leaves; a query term given twice counts twice. Only terms
-    of the queries leave the scan of the documents.
+    of the queries leave the one scan of the documents.
     """
     weights = weights or FIELD_WEIGHTS
     asked = queries.select(F.col(query_id).alias("q"), F.explode(terms(folded(query))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
     asked = small_side(asked)
-    wanted = small_side(asked.select("term").distinct())
     names = list(fields)
-    split = docs.select(F.col(id_col).alias("d"), *[terms(folded(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))).alias(f"f{i}") for i, c in enumerate(fields.values())])
-    sizes = split.agg(F.count("*").alias("n"), *[F.sum(F.size(f"f{i}")).alias(f"s{i}") for i in range(len(names))]).first()
+    text_of = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).alias(f"f{i}") for i, c in enumerate(fields.values())]
+    # one pass over the documents keeps their lengths and the counts of wanted terms
+    hits = checkpointed(_wanted_terms(docs.select(F.col(id_col).alias("d"), *text_of), asked.select("term").distinct(), len(names)))
+    sizes = hits.agg(F.count("*").alias("n"), *[F.sum(F.col("sizes")[i]).alias(f"s{i}") for i in range(len(names))]).first()
     n_docs = sizes["n"]
-    out = None
-    for i, name in enumerate(names):
-        mean = max((sizes[f"s{i}"] or 0) / max(n_docs, 1), 1e-9)
-        tf = split.select("d", F.size(f"f{i}").alias("dl"), F.explode(f"f{i}").alias("term")).join(wanted, "term", "left_semi").groupBy("d", "dl", "term").agg(F.count("*").alias("tf"))
-        df = small_side(tf.groupBy("term").agg(F.count("*").alias("df")))
-        idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        gain = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.lit(mean)))
-        kept = tf if allowed is None else tf.join(allowed.select(F.col(id_col).alias("d")).distinct(), "d", "left_semi")
-        scored = kept.join(df, "term").join(asked, "term").groupBy("q", "d").agg(F.sum(F.col("qtf") * idf * gain).alias("score"))
-        if len(names) > 1:
-            scored = ranked(scored, ["q"], 3 * k, "d").select("q", "d", (F.col("score") * weights.get(name, 1.0)).alias("score"))
-        out = scored if out is None else out.unionByName(scored)
+    every = hits.select("d", F.explode("hits").alias("h")).select("d", "h.*").withColumnRenamed("size", "dl")
+    kept = every if allowed is None else every.join(allowed.select(F.col(id_col).alias("d")).distinct(), "d", "left_semi")
+    df = small_side(every.groupBy("field", "term").agg(F.count("*").alias("df")))
+    mean = F.element_at(F.array(*[F.lit(float(max((sizes[f"s{i}"] or 0) / max(n_docs, 1), 1e-9))) for i in range(len(names))]), F.col("field") + 1)
+    idf = F.log(1.0 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / mean))
+    out = kept.join(df, ["field", "term"]).join(asked, "term").groupBy("q", "field", "d").agg(F.sum(F.col("qtf") * idf * gain).alias("score"))
     if len(names) > 1:
-        out = out.groupBy("q", "d").agg(F.sum("score").alias("score"))
+        weight = F.element_at(F.array(*[F.lit(float(weights.get(n, 1.0))) for n in names]), F.col("field") + 1)
+        out = ranked(out, ["q", "field"], 3 * k, "d").select("q", "d", (F.col("score") * weight).alias("score")).groupBy("q", "d").agg(F.sum("score").alias("score"))
     return ranked(out, ["q"], k, "d").select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score", "rank")
 
 
+def _wanted_terms(docs: DataFrame, wanted: DataFrame, n_fields: int) -> DataFrame:
+    """``(d, sizes, hits)``: lengths of the fields ``f0, f1, ...`` and the counts of wanted terms in them.
+
+    The wanted terms, those of a batch of queries, go to the executors if there
+    are at most ``TERMS``; beyond that all terms are kept and the others leave
+    through a join.
+    """
+    spark = docs.sparkSession
+    chosen = None
+    if rows_within(wanted, TERMS):
+        chosen = spark.sparkContext.broadcast(frozenset(wanted.toArrow().column("term").to_pylist()))
+    item = pa.struct([("field", pa.int32()), ("term", pa.string()), ("tf", pa.int64()), ("size", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = None if chosen is None else chosen.value
+        for batch in batches:
+            sizes, hits = [], []
+            for texts in zip(*(batch.column(1 + i).to_pylist() for i in range(n_fields))):
+                lengths, found = [], []
+                for i, t in enumerate(texts):
+                    words = re.findall(r"[\w\-]+", normal_form(t).casefold()) if t else []
+                    lengths.append(len(words))
+                    n = Counter(words if keep is None else (w for w in words if w in keep))
+                    found += [{"field": i, "term": w, "tf": c, "size": len(words)} for w, c in n.items()]
+                sizes.append(lengths)
+                hits.append(found)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.list_(pa.int64())), pa.array(hits, pa.list_(item))], names=["d", "sizes", "hits"])
+
+    kind = docs.schema["d"].dataType.simpleString()
+    got = docs.mapInArrow(count, f"d {kind}, sizes array<long>, hits array<struct<field:int,term:string,tf:long,size:long>>")
+    if chosen is not None:
+        return got
+    some = got.select("d", F.explode("hits").alias("h")).join(wanted.withColumnRenamed("term", "w"), F.col("h.term") == F.col("w"), "left_semi").groupBy("d").agg(F.collect_list("h").alias("hits"))
+    return got.select("d", "sizes").join(some, "d", "left").withColumn("hits", F.coalesce("hits", F.array().cast(some.schema["hits"].dataType)))
+
+
 def sparse_search(queries: DataFrame, docs: DataFrame, *, k: int, allowed: DataFrame | None = None, query_id: str = "query_id", id_col: str = "doc_id") -> DataFrame:
     """Dot products of sparse vectors given as ``(id, dim, weight)`` rows; the best ``k`` of each query."""
     kept = docs if allowed is None else docs.join(allowed.select(id_col).distinct(), id_col, "left_semi")

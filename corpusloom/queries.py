@@ -91,17 +91,17 @@ def p3_report(spark, folder):
 
 @query(f"select doc_id, len(regexp_extract_all({_norm('text')}, '[\\p{{L}}\\p{{N}}_\\-]+|[^\\p{{L}}\\p{{N}}_\\s]')) as n_tokens from documents")
 def tokens_count(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.token_count(tx.normalized("text")).alias("n_tokens"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", tx.token_count(tx.normalized("text")).alias("n_tokens"))
 
 
 @query(f"with t as (select doc_id, unnest({_terms('text')}) as term from documents) select doc_id, term, count(*) as tf from t group by all")
 def term_freq(spark, folder):
-    return lexical.term_frequencies(table(spark, folder, "documents"))
+    return lexical.term_frequencies(table(spark, folder, "documents", spread=True))
 
 
 @query()
 def normalized_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", tx.normalized("text", paragraphs=True).alias("text"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", tx.normalized("text", paragraphs=True).alias("text"))
 
 
 @query()
@@ -113,12 +113,12 @@ def normalized_spans(spark, folder):
 
 @query()
 def sentence_parts(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(tx.sentence_parts(F.col("text"))).alias("part_no", "part"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.posexplode(tx.sentence_parts(F.col("text"))).alias("part_no", "part"))
 
 
 @query()
 def references_extract(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.posexplode(enrich.references(F.col("text"))).alias("place", "reference"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.posexplode(enrich.references(F.col("text"))).alias("place", "reference"))
 
 
 # ---- retrieval
@@ -138,7 +138,7 @@ r as (select *, row_number() over (partition by query_id order by round(score, 9
 
 @query(_BM25 + "select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 10")
 def bm25_topk(spark, folder):
-    found = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents"), fields={"body": "text"}, k=10)
+    found = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents", spread=True), fields={"body": "text"}, k=10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -160,7 +160,7 @@ f as (select query_id, doc_id, sum(score) as score from (select * from r_body un
 select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from f qualify rank <= 10
 """)
 def bm25f_topk(spark, folder):
-    found = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents"), fields={"body": "text", "titles": "source"}, k=10)
+    found = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents", spread=True), fields={"body": "text", "titles": "source"}, k=10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -174,14 +174,14 @@ select query_id, doc_id, round(score, 6) as score, row_number() over (partition
 """)
 def sparse_dot(spark, folder):
     q = lexical.sparse_terms(_cases(spark, folder), id_col="query_id", text="query")
-    d = lexical.sparse_terms(table(spark, folder, "documents"))
+    d = lexical.sparse_terms(table(spark, folder, "documents", spread=True))
     return lexical.sparse_search(q, d, k=10).withColumn("score", F.round("score", 6))
 
 
 @query()
 def exact_search(spark, folder):
     asked = table(spark, folder, "feedback").select(F.col("query_text").alias("query")).where("query is not null").distinct().withColumn("query_id", F.md5("query"))
-    index = lexical.exact_terms(table(spark, folder, "documents"))
+    index = lexical.exact_terms(table(spark, folder, "documents", spread=True))
     return lexical.exact_search(asked, index, k=10).withColumn("score", F.round("score", 6))
 
 
@@ -234,7 +234,7 @@ def maxsim(spark, folder):
 
 @query()
 def hash_embeddings(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", vec.hash_embedding("text").alias("embedding"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", vec.hash_embedding("text").alias("embedding"))
 
 
 _RRF = _BM25 + """, b as (select query_id, doc_id, rank, 1.0 as weight from r where rank <= 50),
@@ -245,7 +245,7 @@ select query_id, doc_id, round(raw / max(raw) over (partition by query_id), 6) a
 
 @query(_RRF)
 def rrf_fusion(spark, folder):
-    first = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents"), fields={"body": "text"}, k=50)
+    first = lexical.bm25(_cases(spark, folder), table(spark, folder, "documents", spread=True), fields={"body": "text"}, k=50)
     back = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), "doc_id")))
     lists = first.select("query_id", "doc_id", "rank", F.lit(1.0).alias("weight")).unionByName(back.select("query_id", "doc_id", "rank", F.lit(0.5).alias("weight")))
     return ranking.reciprocal_rank_fusion(lists).withColumn("fusion", F.round("fusion", 6))
@@ -307,12 +307,12 @@ def query_views(spark, folder):
 select doc_id, n from (select doc_id, len(list_filter([regexp_matches(text, '(?is)ignore\\s+(?:all|any|the)?\\s*(?:previous|prior)\\s+instructions'), regexp_matches(text, '(?is)system\\s+prompt'), regexp_matches(text, '(?is)developer\\s+message'), regexp_matches(text, '(?i)do\\s+not\\s+follow\\s+.*instructions'), regexp_matches(text, '(?is)jailbreak'), regexp_matches(text, '(?i)نادیده\\s+بگیر.*(?:دستور|راهنما)'), regexp_matches(text, '(?is)پرامپت\\s+سیستم')], lambda x: x)) as n from documents)
 """)
 def security_patterns(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.size(security.injection_patterns(F.col("text"))).cast("long").alias("n"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.size(security.injection_patterns(F.col("text"))).cast("long").alias("n"))
 
 
 @query()
 def security_scan(spark, folder):
-    found = table(spark, folder, "documents").select("doc_id", security.scan("text").alias("f"))
+    found = table(spark, folder, "documents", spread=True).select("doc_id", security.scan("text").alias("f"))
     return found.select("doc_id", F.size("f").alias("n_findings"), F.concat_ws(",", F.transform("f", lambda x: x["kind"])).alias("kinds"))
 
 
@@ -325,18 +325,18 @@ c as (select doc_id, w, i from w, unnest(range(0, greatest(0, ceil((len(w) - 128
 select doc_id, i::int as chunk_index, array_to_string(list_slice(w, i * 112 + 1, i * 112 + 128), ' ') as chunk, len(list_slice(w, i * 112 + 1, i * 112 + 128))::int as n_words from c
 """)
 def sliding_chunks(spark, folder):
-    return chunking.word_windows(table(spark, folder, "documents"), words=128, overlap=16)
+    return chunking.word_windows(table(spark, folder, "documents", spread=True), words=128, overlap=16)
 
 
 @query()
 def chunk_detect(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", spread=True)
     return docs.select("doc_id", chunking.detected(F.col("text"), tx.token_count(tx.normalized("text"))).alias("strategy"))
 
 
 def _chunker(name: str):
     def run(spark, folder):
-        docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
+        docs = table(spark, folder, "documents", spread=True).select(F.col("doc_id").cast("string").alias("source_id"), "text")
         return chunking.chunk_documents(docs, cfg=chunking.ChunkConfig(strategy=name, largest=128, smallest=20, overlap=16)).drop("parent_text")
 
     run.__name__ = f"chunks_{name}"
@@ -382,18 +382,18 @@ g as (select doc_id, keyword, count(*) as n, min(i) as i from e group by all)
 select doc_id, keyword, n, row_number() over (partition by doc_id order by n desc, i) as rank from g qualify rank <= 20
 """)
 def keywords_top20(spark, folder):
-    return enrich.keywords(table(spark, folder, "documents"))
+    return enrich.keywords(table(spark, folder, "documents", spread=True))
 
 
 @query()
 def enriched_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", tx.normalized("text").alias("text"), F.col("source").alias("title"))
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", tx.normalized("text").alias("text"), F.col("source").alias("title"))
     return enrich.enriched(docs, title="title")
 
 
 @query()
 def html_text(spark, folder):
-    pages = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("<html><head><style>p {}</style></head><body><h1>"), F.col("source"), F.lit("</h1><p>"), F.col("text"), F.lit("</p><div style='display:none'>hidden</div></body></html>")).alias("html"))
+    pages = table(spark, folder, "documents", spread=True).select("doc_id", F.concat(F.lit("<html><head><style>p {}</style></head><body><h1>"), F.col("source"), F.lit("</h1><p>"), F.col("text"), F.lit("</p><div style='display:none'>hidden</div></body></html>")).alias("html"))
     return pages.select("doc_id", files.html_text("html").alias("text"))
 
 
@@ -420,14 +420,14 @@ def policy_score(spark, folder):
 @query(_BM25 + """, h as (select query_id, doc_id, source, score from r join documents using (doc_id) where rank <= 50)
 select query_id, doc_id, round(score, 6) as score from h qualify row_number() over (partition by query_id, source order by round(score, 9) desc, doc_id) <= 2""")
 def source_cap(spark, folder):
-    docs = table(spark, folder, "documents")
+    docs = table(spark, folder, "documents", spread=True)
     hits = lexical.bm25(_cases(spark, folder), docs, fields={"body": "text"}, k=50).join(docs.select("doc_id", F.col("source").alias("source_id")), "doc_id")
     kept = ranking.source_capped(hits.withColumn("raw", F.col("score")).withColumn("score", F.round("score", 9)), 2)
     return kept.select("query_id", "doc_id", F.round("raw", 6).alias("score"))
 
 
 def _graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, folder, "documents").select("doc_id", F.array("source").alias("entities"), F.when(F.col("tenant_id").isNotNull(), F.array(F.array("source", F.lit("in"), "tenant_id"))).otherwise(F.array().cast("array<array<string>>")).alias("relations"))
+    docs = table(spark, folder, "documents", spread=True).select("doc_id", F.array("source").alias("entities"), F.when(F.col("tenant_id").isNotNull(), F.array(F.array("source", F.lit("in"), "tenant_id"))).otherwise(F.array().cast("array<array<string>>")).alias("relations"))
     return graph.graph_tables(docs)
 
 
@@ -489,7 +489,7 @@ m as (select item_id as query_id, coalesce(h, 0) / 10.0 as precision_at_k, case
 
 
 def _metrics(spark: SparkSession, folder: str) -> DataFrame:
-    docs, cases = table(spark, folder, "documents"), table(spark, folder, "evaluation_cases")
+    docs, cases = table(spark, folder, "documents", spread=True), table(spark, folder, "evaluation_cases")
     found = lexical.bm25(_cases(spark, folder), docs, fields={"body": "text"}, k=50).join(docs.select("doc_id", F.col("source").alias("item")), "doc_id").where("item is not null")
     relevant = cases.select(F.col("item_id").alias("query_id"), F.explode("relevant_source_ids").alias("item"))
     return evaluation.query_metrics(_cases(spark, folder), evaluation.deduped_ranks(found), relevant)
@@ -540,7 +540,7 @@ with c as (select channel, max(score) over (partition by id, channel) as top, id
 select id, channel, round(case when top > 0 then score / top else 0 end, 9) as score from c
 """)
 def max_normalize(spark, folder):
-    rows = table(spark, folder, "documents").where("n_chars is not null and source is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.col("n_chars").cast("double").alias("score"))
+    rows = table(spark, folder, "documents", spread=True).where("n_chars is not null and source is not null").select(F.col("doc_id").alias("id"), F.col("source").alias("channel"), F.col("n_chars").cast("double").alias("score"))
     return ranking.max_normalized(rows, ["id", "channel"]).select("id", "channel", F.round("score", 9).alias("score"))
 
 
@@ -571,13 +571,13 @@ def upsert_chunks(spark, folder):
 
 
 def _search_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("source", F.col("doc_id").cast("string").alias("source_id"), "text", "tenant_id")
+    docs = table(spark, folder, "documents", spread=True).select("source", F.col("doc_id").cast("string").alias("source_id"), "text", "tenant_id")
     return checkpointed(ingest(docs, cfg=chunking.ChunkConfig(strategy="recursive", largest=256, smallest=40, overlap=0, dimensions=96), keep=["tenant_id"]).drop("parent_text"))
 
 
 @query()
 def ingest_documents(spark, folder):
-    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "text")
+    docs = table(spark, folder, "documents", spread=True).select(F.col("doc_id").cast("string").alias("source_id"), "text")
     return ingest(docs, cfg=chunking.ChunkConfig(largest=256, smallest=40, overlap=16, dimensions=96)).select("id", "source_id", "chunk_index", "chunk_type", "previous_id", "next_id", "summary", "retrieval_signature", "v_raw_text")
 
 

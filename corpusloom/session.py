@@ -36,8 +36,14 @@ def small_side(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return F.broadcast(df) if rows_within(df, limit) else df
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of a folder; with ``spread`` one of fewer parts than there are cores is dealt out to all of them.
+
+    Only tables too small to occupy the cluster are moved; larger ones are read as they lie.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def ship(spark: SparkSession) -> None:
