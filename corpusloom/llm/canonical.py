@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import checkpointed
+
 TOP = 0x110000
 #: Code points handled at once; bounds the memory of a batch, not the length of a text.
 WINDOW = 1 << 20
@@ -277,6 +279,7 @@ def look_alike_pairs(documents: DataFrame, *, key: str, text: str) -> DataFrame:
     rows and keys count once.
     """
     rows = documents.select(F.col(key).alias("k"), F.md5(canonical_text(F.col(text))).alias("form"), F.md5(text).alias("spelling")).where("form is not null")
+    rows = checkpointed(rows)  # hashes only; read four times below
     spellings = rows.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low < high").select("form")
     several = rows.join(spellings, "form", "left_semi")
     kinds = several.select("form", "spelling").distinct()
