@@ -11,44 +11,44 @@ from corpusloom.session import ship, table
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return scans.scanned_noise(table(spark, folder, "document_blocks"))
+    return scans.scanned_noise(table(spark, folder, "document_blocks", spread=True))
 
 
 def p1_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
     """Every page as repaired paragraphs in reading order."""
     ship(spark)
-    return scans.repaired_paragraphs(table(spark, folder, "document_blocks"))
+    return scans.repaired_paragraphs(table(spark, folder, "document_blocks", spread=True))
 
 
 def p2_units(spark: SparkSession, folder: str) -> DataFrame:
     """All sentence units with their text."""
     ship(spark)
-    return sentences.sentence_units(table(spark, folder, "search_documents"), key="id", text="text").distinct()
+    return sentences.sentence_units(table(spark, folder, "search_documents", spread=True), key="id", text="text").distinct()
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    units = sentences.sentence_units(table(spark, folder, "search_documents"), key="id", text="text")
+    units = sentences.sentence_units(table(spark, folder, "search_documents", spread=True), key="id", text="text")
     return units.select("id", "start_char", "end_char").distinct()
 
 
 def p4_neighbors(spark: SparkSession, folder: str) -> DataFrame:
     """The ten most similar vectors of every usable vector of both fields."""
     ship(spark)
-    near = neighbors.nearest_vectors(table(spark, folder, "multi_vectors"), id_col="mv_id", fields=["raw_text", "summary"], dimension=96)
+    near = neighbors.nearest_vectors(table(spark, folder, "multi_vectors", spread=True), id_col="mv_id", fields=["raw_text", "summary"], dimension=96)
     return near.withColumnsRenamed({"id": "mv_id", "neighbor": "neighbor_id"})
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    near = neighbors.nearest_vectors(table(spark, folder, "multi_vectors"), id_col="mv_id", fields=["raw_text", "summary"], dimension=96, least=0.85)
+    near = neighbors.nearest_vectors(table(spark, folder, "multi_vectors", spread=True), id_col="mv_id", fields=["raw_text", "summary"], dimension=96, least=0.85)
     return neighbors.mutual_pairs(near, 0.85).withColumnsRenamed({"id_a": "mv_id_a", "id_b": "mv_id_b"})
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
     """Pages and chunks as items, each once."""
-    pages = table(spark, folder, "loaded_documents").select(F.lit("page").alias("item_kind"), F.col("loaded_id").alias("item_id"), F.posexplode("pages").alias("n", "text"))
+    pages = table(spark, folder, "loaded_documents", spread=True).select(F.lit("page").alias("item_kind"), F.col("loaded_id").alias("item_id"), F.posexplode("pages").alias("n", "text"))
     pages = pages.select("item_kind", "item_id", (F.col("n") + 1).alias("page_no"), "text")
-    chunks = table(spark, folder, "chunks").select(F.lit("chunk").alias("item_kind"), F.col("chunk_no").alias("item_id"), F.lit(0).alias("page_no"), F.col("raw_text").alias("text"))
+    chunks = table(spark, folder, "chunks", spread=True).select(F.lit("chunk").alias("item_kind"), F.col("chunk_no").alias("item_id"), F.lit(0).alias("page_no"), F.col("raw_text").alias("text"))
     return pages.unionByName(chunks)
 
 
@@ -66,13 +66,13 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return packing.pack_texts(table(spark, folder, "documents"), key="doc_id", text="text")
+    return packing.pack_texts(table(spark, folder, "documents", spread=True), key="doc_id", text="text")
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with windows like those of test items, exact or nearly so."""
     ship(spark)
-    return leakage.leaked_passages(table(spark, folder, "documents"), table(spark, folder, "evaluation_cases"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
+    return leakage.leaked_passages(table(spark, folder, "documents", spread=True), table(spark, folder, "evaluation_cases"), doc_id="doc_id", text="text", item_id="item_id", passage="passage")
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,12 +82,12 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """The one form of every document's text."""
     ship(spark)
-    return table(spark, folder, "documents").select("doc_id", canonical.canonical_text("text").alias("text"))
+    return table(spark, folder, "documents", spread=True).select("doc_id", canonical.canonical_text("text").alias("text"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return canonical.look_alike_pairs(table(spark, folder, "documents"), key="doc_id", text="text").withColumnsRenamed({"key_a": "doc_id_a", "key_b": "doc_id_b"})
+    return canonical.look_alike_pairs(table(spark, folder, "documents", spread=True), key="doc_id", text="text").withColumnsRenamed({"key_a": "doc_id_a", "key_b": "doc_id_b"})
 
 
 QUERIES = {
