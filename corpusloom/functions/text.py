@@ -160,3 +160,33 @@ def stable_chunk_id(source_id: str, version: str, kind: str, path: list[str], te
 
 def section_id(source_id: str, version: str, path: list[str]) -> str:
     return f"{source_id}:section:{digest(f'{source_id}::{version}::' + ' > '.join(path), 10)}"
+
+
+def tokenizer_count(col: Column | str, encode) -> Column:
+    """Tokens of an injected encoder (text to ids); null has none."""
+
+    @F.arrow_udf("int")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([0 if t is None else len(encode(t)) for t in texts.to_pylist()], pa.int32())
+
+    return run(col)
+
+
+def tokenizer_split(col: Column | str, encode, decode, size: int) -> Column:
+    """Pieces of ``size`` tokens of an injected encoder and decoder; null and empty texts have none."""
+    if size < 1:
+        raise ValueError("size must be positive")
+
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        ids = [encode(t) if t else [] for t in texts.to_pylist()]
+        return pa.array([[decode(x[i : i + size]) for i in range(0, len(x), size)] for x in ids], pa.list_(pa.string()))
+
+    return run(col)
+
+
+def point_id(col: Column | str, space: str = "corpusloom:") -> Column:
+    """A name-based UUID of an id, for stores that take only UUIDs; null stays null."""
+    import uuid
+
+    return _mapped(lambda t: str(uuid.uuid5(uuid.NAMESPACE_URL, space + t)))(col)

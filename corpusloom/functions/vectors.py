@@ -111,6 +111,12 @@ def embedding(col: Column | str, embed: Callable[[list[str]], list[list[float]]]
     return run(col)
 
 
+def embedded_once(docs: DataFrame, text: str, out: str, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """Rows with the embedding of their text, each different text embedded once; null gives null."""
+    known = docs.select(text).where(F.col(text).isNotNull()).distinct().withColumn(out, embedding(text, embed))
+    return docs.join(known, text, "left")
+
+
 # ---- exact search
 
 

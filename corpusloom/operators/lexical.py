@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -113,6 +113,21 @@ def sparse_terms(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text",
     return tf.groupBy(id_col, dim.alias("dim")).agg(F.sum(1.0 + F.log(F.col("tf").cast("double"))).alias("weight"))
 
 
+def sparse_encoded(docs: DataFrame, encode: Callable[[list[str]], list[dict[int, float]]], *, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """Sparse vectors ``(id, dim, weight)`` by an injected batch function from texts to weights by dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = encode(batch.column(1).to_pylist())
+            who = [i for i, v in enumerate(got) for _ in v]
+            flat = [x for v in got for x in v.items()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array([d for d, _ in flat], pa.int64()), pa.array([float(w) for _, w in flat], pa.float64())], names=["i", "dim", "weight"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).cast("string").alias("t")).where("t is not null")
+    return rows.mapInArrow(run, f"i {kind}, dim long, weight double").withColumnRenamed("i", id_col)
+
+
 def exact_terms(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text", extra: str | None = None) -> DataFrame:
     """Distinct identifiers ``(id, term)`` of the documents, folded; ``extra`` names an array column of further terms."""
     found = identifiers(F.col(text))

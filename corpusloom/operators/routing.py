@@ -79,3 +79,27 @@ def sub_queries(query: Column) -> Column:
         marked = F.regexp_replace(marked, f"(?i)(^|[^\\p{{L}}\\p{{N}}_])(?:{JOINING})($|[^\\p{{L}}\\p{{N}}_])", "$1\x1f$2")
     parts = F.filter(F.transform(F.split(marked, "[\x1f;؛]"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     return F.when(F.size(parts) <= 1, F.array(query)).otherwise(F.slice(F.array_distinct(F.concat(F.array(query), parts)), 1, 5))
+
+
+def decomposed(queries: DataFrame, *, query: str = "query", generate: Callable[[str], str] | None = None) -> DataFrame:
+    """Queries with their parts as ``part_no, part``: by rule, or by an injected generator, one part a line.
+
+    A generator that fails leaves the query whole.
+    """
+    if generate is None:
+        parts = sub_queries(F.col(query))
+    else:
+
+        @F.arrow_udf("array<string>")
+        def ask(texts: pa.Array) -> pa.Array:
+            out = []
+            for t in texts.to_pylist():
+                try:
+                    lines = [x.strip(" -\t") for x in generate(t).splitlines() if x.strip()]
+                except Exception:  # an optional stage
+                    lines = []
+                out.append(list(dict.fromkeys([t, *lines]))[:5])
+            return pa.array(out, pa.list_(pa.string()))
+
+        parts = ask(query)
+    return queries.select("*", F.posexplode(parts).alias("part_no", "part"))

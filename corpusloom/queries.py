@@ -12,7 +12,7 @@ from corpusloom.functions import vectors as vec
 from corpusloom.operators import chunking, context, enrich, evaluation, graph, lexical, orphans, ranking, routing, security
 from corpusloom.plans.ingest import ingest, ingest_pages
 from corpusloom.plans.search import SearchConfig, search
-from corpusloom.session import checkpointed, ship, table
+from corpusloom.session import ship, table, written
 from corpusloom.sources import files, store
 from corpusloom.streaming.live import windowed
 
@@ -572,7 +572,7 @@ def upsert_chunks(spark, folder):
 
 def _search_chunks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", spread=True).select("source", F.col("doc_id").cast("string").alias("source_id"), "text", "tenant_id")
-    return checkpointed(ingest(docs, cfg=chunking.ChunkConfig(strategy="recursive", largest=256, smallest=40, overlap=0, dimensions=96), keep=["tenant_id"]).drop("parent_text"))
+    return written(ingest(docs, cfg=chunking.ChunkConfig(strategy="recursive", largest=256, smallest=40, overlap=0, dimensions=96), keep=["tenant_id"]).drop("parent_text"), "chunks")
 
 
 @query()

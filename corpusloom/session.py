@@ -22,6 +22,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table to the shared folder and read again: lineage is cut and columns can still be pruned."""
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def rows_within(df: DataFrame, limit: int) -> bool:
     """True if ``df`` has at most ``limit`` rows; reads no more than needed."""
     return df.limit(limit + 1).count() <= limit

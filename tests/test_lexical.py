@@ -61,3 +61,15 @@ def test_sparse(spark, docs):
     q = lexical.sparse_terms(spark.createDataFrame([(1, "apple")], "query_id int, query string"), id_col="query_id", text="query")
     got = [(x["doc_id"], round(x["score"], 6)) for x in lexical.sparse_search(q, lexical.sparse_terms(docs), k=9).orderBy("rank").collect()]
     assert got == [(2, round(1 + math.log(2), 6)), (1, 1.0), (6, 1.0)]
+
+
+def test_many_query_terms(spark, docs, monkeypatch):
+    q = spark.createDataFrame([(7, "red apple")], "query_id int, query string")
+    few = lexical.bm25(q, docs, fields={"body": "text", "titles": "kind"}).collect()
+    monkeypatch.setattr(lexical, "TERMS", 0)
+    assert sorted(map(tuple, lexical.bm25(q, docs, fields={"body": "text", "titles": "kind"}).collect())) == sorted(map(tuple, few))
+
+
+def test_injected_sparse_encoder(spark, docs):
+    got = lexical.sparse_encoded(docs, lambda texts: [{len(t): 1.0} if t else {} for t in texts]).collect()
+    assert {(x["doc_id"], x["dim"], x["weight"]) for x in got} == {(1, 13, 1.0), (2, 17, 1.0), (3, 28, 1.0), (6, 13, 1.0)}

@@ -28,6 +28,18 @@ def test_sub_queries(spark):
     assert got[3] == ["الف و ب", "الف", "ب"] and len(got[4]) == 5
 
 
+def test_generated_parts(spark):
+    q = spark.createDataFrame([("a and b",), ("c",)], "query string")
+    assert [(x["part_no"], x["part"]) for x in routing.decomposed(q).where("query = 'a and b'").collect()] == [(0, "a and b"), (1, "a"), (2, "b")]
+
+    def generate(t):
+        if t == "c":
+            raise RuntimeError
+        return "- x\n\n y"
+
+    assert [x["part"] for x in routing.decomposed(q, generate=generate).collect()] == ["a and b", "x", "y", "c"]
+
+
 ROWS = [(1, None, "public", None, None, None), (2, "t1", "public", None, None, None), (3, "t1", "private", "ann", None, None), (4, None, "private", None, ["bob"], ["ops"]), (5, "t2", None, None, None, None)]
 
 

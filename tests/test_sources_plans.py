@@ -117,3 +117,16 @@ def test_windows(spark):
     ev = spark.createDataFrame([("a", "2024-01-01 01:00:00", 1.0), ("a", "2024-01-01 23:00:00", 3.0), ("a", "2024-01-02 00:00:00", 5.0)], "kind string, at string, v double").withColumn("at", F.col("at").cast("timestamp_ntz"))
     got = sorted((x["n_events"], x["mean_value"]) for x in windowed(ev, time="at", by=["kind"], value="v").collect())
     assert got == [(1, 5.0), (2, 2.0)]
+
+
+def test_trace():
+    from corpusloom.plans.trace import Trace
+
+    t, seen = Trace({"query": "q"}), []
+    with t.span("a", n=1) as notes:
+        notes["m"] = 2
+    t.send(seen.append)
+    t.send(lambda _: 1 / 0)
+    assert seen[0]["spans"][0]["name"] == "a" and seen[0]["spans"][0]["m"] == 2 and t.total_ms >= 0
+    with pytest.raises(ZeroDivisionError):
+        t.send(lambda _: 1 / 0, fail_open=False)

@@ -50,3 +50,10 @@ def test_ids_are_stable():
 def test_each_character_is_normalized_alone():
     text = unicodedata.normalize("NFD", "é") + "ﬁ"
     assert tx.normal_form(text) == unicodedata.normalize("NFD", "é") + "fi"
+
+
+def test_injected_tokenizer(spark):
+    df = spark.createDataFrame([("abcde",), ("",), (None,)], "t string")
+    got = df.select(tx.tokenizer_count("t", list).alias("n"), tx.tokenizer_split("t", list, "".join, 2).alias("p"), tx.point_id("t").alias("u")).collect()
+    assert [x["n"] for x in got] == [5, 0, 0] and got[0]["p"] == ["ab", "cd", "e"] and got[2]["p"] == []
+    assert len(got[0]["u"]) == 36 and got[2]["u"] is None

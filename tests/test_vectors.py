@@ -59,3 +59,9 @@ def test_hash_embedding(spark):
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-6 and not any(c) and d is None
     with pytest.raises(ValueError):
         vec.hash_embedding("t", 8)
+
+
+def test_texts_are_embedded_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "bb"), (4, None)], "i int, t string")
+    got = {x["i"]: x["v"] for x in vec.embedded_once(df, "t", "v", lambda ts: [[float(len(t))] for t in ts]).collect()}
+    assert got == {1: [1.0], 2: [1.0], 3: [2.0], 4: None}
