@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import small_side
+from corpusloom.session import checkpointed, small_side
 
 #: Rows per matrix product; bounds memory, not results.
 PART = 2048
@@ -214,16 +214,15 @@ def nearest_vectors(
 
     units = base.mapInArrow(unit, f"f int, id {kind.simpleString()}, h1 long, h2 long, x binary")
     # an id given with several vectors keeps the first; whole rows repeated meet again in their block
-    keyed = units.select("f", "id", "h1", "h2")
+    keyed = checkpointed(units.select("f", "id", "h1", "h2"))  # keys alone; the vectors are read once more, for the index
     key = F.struct("h1", "h2")
     torn = keyed.groupBy("f", "id").agg(F.min(key).alias("k"), F.max(key).alias("last")).where("k <> last").select("f", "id", "k.h1", "k.h2")
     if torn.limit(1).count():
-        first = units.join(torn, ["f", "id", "h1", "h2"], "left_semi")
-        units = units.join(torn.select("f", "id"), ["f", "id"], "left_anti").unionByName(first)
-        keyed = units.select("f", "id", "h1", "h2")
+        keep = lambda df: df.join(torn.select("f", "id"), ["f", "id"], "left_anti").unionByName(df.join(torn, ["f", "id", "h1", "h2"], "left_semi"))
+        units, keyed = keep(units), keep(keyed)
     # rows of one direction, found by key alone
     classes = keyed.groupBy("f", "h1", "h2").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("f", "h1", "h2", "rep")
-    members = keyed.join(small_side(classes), ["f", "h1", "h2"]).select("f", "rep", "id").distinct()
+    members = checkpointed(keyed.join(small_side(classes), ["f", "h1", "h2"]).select("f", "rep", "id").distinct())
     others = members.where("id <> rep")
     index = units.join(small_side(others.select("f", "id")), ["f", "id"], "left_anti")
 
