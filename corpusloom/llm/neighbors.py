@@ -135,6 +135,8 @@ class Forest:
                 some = who[a : a + PART]
                 score = q[some] @ data.T
                 near = score > best[some, k - 1, None]
+                if near.sum() > 2 * k * len(some) and len(rows) > k + 1:  # early leaves: only a leaf's own best can stay
+                    near &= score >= np.partition(score, -k - 1, axis=1)[:, -k - 1, None]
                 near &= rows[None, :] != own[some, None]
                 hit = np.flatnonzero(near.any(1))
                 if not len(hit):
