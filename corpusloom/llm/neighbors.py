@@ -151,18 +151,14 @@ class Forest:
         at = np.concatenate([np.repeat(np.arange(len(who)), k), i])
         row = np.concatenate([place[who].ravel(), rows])
         value = np.concatenate([best[who].ravel(), score])
-        real = row >= 0
-        at, row, value = at[real], row[real], value[real]
-        order = np.lexsort((row, -value, at))
+        key = at << 32 | row
+        order = np.argsort(key[row >= 0], kind="stable")  # the same row through two trees stays once
+        order = np.flatnonzero(row >= 0)[order]
+        once = np.ones(len(order), bool)
+        once[1:] = key[order[1:]] != key[order[:-1]]
+        order = order[once]
+        order = order[np.lexsort((-value[order], at[order]))]
         at, row, value = at[order], row[order], value[order]
-        twin = np.zeros(len(at), bool)
-        twin[1:] = (at[1:] == at[:-1]) & (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-        if len(at) > 1:  # the same row through two trees may differ in the last digit
-            o = np.lexsort((-value, row, at))
-            same = np.zeros(len(at), bool)
-            same[o[1:]] = (at[o[1:]] == at[o[:-1]]) & (row[o[1:]] == row[o[:-1]])
-            twin |= same
-        at, row, value = at[~twin], row[~twin], value[~twin]
         first = np.searchsorted(at, np.arange(len(who)))
         rank = np.arange(len(at)) - first[at]
         keep = rank < k
