@@ -95,4 +95,24 @@ QUERIES = {
     for f in (p1_found, p1_paragraphs, p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
 }
 
-SQL: dict[str, str] = {}
+_SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_INLINE = _SPACE.replace(r"\s", r"\t\f ", 1)
+_FINAL, _CLOSE = ".!?…؟۔।॥。！？", r"\"'’”»)\]}」』）】〕］》".replace("'", "''")
+
+
+def _longest(text: str) -> str:
+    """Longest part of a text cut at the sign chr(31), white space at its ends left out."""
+    return f"list_max(list_transform(string_split({text}, chr(31)), lambda x: length(regexp_replace(x, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))))"
+
+
+_P5 = rf"""
+with i as (select distinct item_kind, item_id, page_no::int as page_no, t from (
+  select 'page' as item_kind, loaded_id as item_id, n as page_no, pages[n] as t from loaded_documents, unnest(range(1, len(pages) + 1)) as u(n)
+  union all select 'chunk', chunk_no, 0, raw_text from chunks) where length(t) > 2000),
+p as (select *, regexp_replace(replace(t, chr(13) || chr(10), chr(10)), '[\n\r][{_INLINE}]*[\n\r][{_SPACE}]*', chr(31), 'g') as para from i),
+s as (select *, regexp_replace(para, '([{_FINAL}][{_FINAL}{_CLOSE}]*)[{_SPACE}]+|([。！？][{_FINAL}{_CLOSE}]*)', '\1\2' || chr(31), 'g') as sent from p)
+select item_kind, item_id, page_no, case when {_longest("para")} <= 2000 then 'paragraph' when {_longest("sent")} <= 2000 then 'sentence'
+  when {_longest(f"regexp_replace(t, '[{_SPACE}]+', chr(31), 'g')")} <= 2000 then 'word' else 'none' end as cut_at from s
+"""
+
+SQL: dict[str, str] = {"p5_found": _P5}

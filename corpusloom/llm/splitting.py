@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 FINAL = ".!?…؟۔।॥。！？"
 WIDE = "。！？"
 CLOSERS = "\"'”’»)]}」』）】〕］》"
-BLANK = re.compile(r"(?:\r\n|\n|\r)[^\S\r\n]*(?:\r\n|\n|\r)\s*")
+BLANK = re.compile(r"(?>\r\n|\n|\r)[^\S\r\n]*(?>\r\n|\n|\r)\s*")
 SENTENCE = re.compile(rf"[{re.escape(FINAL)}][{re.escape(FINAL + CLOSERS)}]*\s+|[{WIDE}][{re.escape(FINAL + CLOSERS)}]*")
 SPACE = re.compile(r"\s+")
 LEVELS = ("paragraph", "sentence", "word", "none")

@@ -28,6 +28,8 @@ def test_levels():
     para = "word " * 300
     assert sp.split_text((para.strip() + "\n \r\n") * 3)[0] == "paragraph"
     assert sp.split_text(("word " * 300).strip() + ". " + para)[0] == "sentence"
+    assert sp.split_text("\r\n".join(["word " * 20] * 40))[0] == "word"  # one line end is no blank line
+    assert sp.split_text("\r\n \r\n".join(["word " * 20] * 40))[0] == "paragraph"
     assert sp.split_text("的" * 1500 + "。" + "的" * 1500)[0] == "sentence"
     assert sp.split_text(para * 3)[0] == "word" and sp.split_text("x" * 5000)[0] == "none"
     assert len(sp.split_text("x" * 200_000)[1]) == 111
