@@ -111,7 +111,10 @@ def normalized_spans(spark, folder):
     return rows.select("id", F.length("n.text").alias("n_chars"), span["start"].alias("start_char"), span["end"].alias("end_char"))
 
 
-@query()
+@query(r"""
+with p as (select doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(trim(text), '([.!?؟])\s+', '\1' || chr(31), 'g'), '\n+(\S)', chr(31) || '\1', 'g'), chr(31)), lambda x: trim(x)), lambda x: x <> '') as p from documents)
+select doc_id, (i - 1)::int as part_no, p[i] as part from p, unnest(range(1, len(p) + 1)) as u(i)
+""")
 def sentence_parts(spark, folder):
     return table(spark, folder, "documents", spread=True).select("doc_id", F.posexplode(tx.sentence_parts(F.col("text"))).alias("part_no", "part"))
 
@@ -297,7 +300,12 @@ def decompose(spark, folder):
     return asked.select("query", F.posexplode(routing.sub_queries(F.col("query"))).alias("place", "part")).withColumn("place", F.col("place").cast("long"))
 
 
-@query()
+@query(rf"""
+with w as (select item_id, query_text as q, list_filter(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}_\-]+'), lambda x: length(x) > 2 and not list_contains([{", ".join(f"'{w}'" for w in tx.STOPWORDS)}], x)) as w from evaluation_cases),
+u as (select *, list_filter(w, lambda x, i: list_position(w, x) = i) as u from w)
+select item_id as query_id, q as raw_text, q as summary, array_to_string(u[1:16], ', ') as keywords, array_to_string(u[1:6], ' ') as titles,
+  array_to_string(regexp_extract_all(q, '(?i)(?:https?://\S+|\b[A-Z]{{2,}}[\-_]?\d{{2,}}\b|\b[\p{{L}}\p{{N}}_]+[\-_]\d{{3,}}\b)'), ' | ') as references from u
+""".replace("as references from", 'as "references" from'))
 def query_views(spark, folder):
     asked = _cases(spark, folder)
     return asked.select("query_id", *[v.alias(n) for n, v in enrich.query_views(F.col("query")).items()])
@@ -328,7 +336,13 @@ def sliding_chunks(spark, folder):
     return chunking.word_windows(table(spark, folder, "documents", spread=True), words=128, overlap=16)
 
 
-@query()
+@query(rf"""
+with d as (select doc_id, text, len(regexp_extract_all({_norm('text')}, '[\p{{L}}\p{{N}}_\-]+|[^\p{{L}}\p{{N}}_\s]')) as n,
+  regexp_matches(text, '(?m)^#{{1,6}}\s')::int + contains(text, '```')::int + regexp_matches(text, '(?m)^\s*\|.*\|\s*$')::int as kinds from documents)
+select doc_id, case when kinds >= 2 then 'composite' when regexp_matches(text, '(?m)^#{{1,6}}\s+.+$') then 'hierarchical' when len(regexp_extract_all(text, '(?m)^[ \t]*\|.*\|[ \t]*$')) >= 2 then 'table'
+  when regexp_matches(text, '(?s)```.*?```') or regexp_matches(text, '(?m)^\s*(?:def |class |async def |function |import |from |const |let |var |public |private |#include )') then 'code'
+  when n > 5120 then 'sliding_window' when regexp_matches(text, '[.!?؟]\s+\S|\S\s*\n+\S') then 'semantic' else 'recursive' end as strategy from d
+""")
 def chunk_detect(spark, folder):
     docs = table(spark, folder, "documents", spread=True)
     return docs.select("doc_id", chunking.detected(F.col("text"), tx.token_count(tx.normalized("text"))).alias("strategy"))
