@@ -165,10 +165,10 @@ def top_k(queries: DataFrame, vectors: DataFrame, *, k: int, query_id: str = "qu
                 for a in range(0, len(q), 512):
                     score = q[a : a + 512] @ x.T
                     n = min(k + (not keep_self), score.shape[1])
-                    cut = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n]
+                    cut = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n] - 1e-9  # ties are told to nine digits
                     i, j = np.nonzero((score >= cut) & (score > 0))
                     if len(i) > 4 * n * len(score):  # many ties: the lowest ids stay
-                        o = np.lexsort((order[j], -score[i, j], i))
+                        o = np.lexsort((order[j], -score[i, j].round(9), i))
                         i, j = i[o], j[o]
                         keep = np.arange(len(i)) - np.searchsorted(i, i) < n
                         i, j = i[keep], j[keep]
@@ -178,7 +178,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, *, k: int, query_id: str = "qu
         out = found if out is None else out.unionByName(found)
     if not keep_self:
         out = out.where("q <> d")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "d"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score", "rank")
 
 
@@ -188,7 +188,7 @@ def two_stage_top_k(queries: DataFrame, vectors: DataFrame, *, k: int, coarse: i
     near = top_k(short(queries), short(vectors), k=k * widen, query_id=query_id, query_vector="_short", id_col=id_col, vector="_short")
     full = near.select(query_id, id_col).join(vectors.select(id_col, F.col(vector).alias("_d")), id_col).join(queries.select(query_id, F.col(vector).alias("_q")), query_id)
     scored = full.withColumn("score", cosine(F.col("_q"), F.col("_d"))).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
+    rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc(F.round("score", 9)), id_col))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(query_id, id_col, "score", "rank")
 
 
@@ -224,11 +224,11 @@ def max_sim(queries: DataFrame, pages: DataFrame, *, k: int, query_id: str = "qu
                 n = min(k, batch.num_rows)
                 if not n or not len(names):
                     continue
-                cut = -np.partition(-total, n - 1, axis=1)[:, n - 1 : n]
+                cut = -np.partition(-total, n - 1, axis=1)[:, n - 1 : n] - 1e-9
                 i, j = np.nonzero(total >= cut)
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(i)), batch.column(0).take(pa.array(j)), pa.array(total[i, j])], names=["q", "d", "score"])
 
         found = rows.mapInArrow(search, f"q {q_type}, d {d_type}, score double")
         out = found if out is None else out.unionByName(found)
-    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), "d"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias(query_id), F.col("d").alias(id_col), "score", "rank")

@@ -45,7 +45,7 @@ def communities(entities: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _substrings(queries: DataFrame, longest: int) -> DataFrame:
-    """Substrings of the folded queries that begin at a word: ``(q, part)``; an entity inside a query is one of them."""
+    """Substrings of the folded queries up to the longest entity: ``(q, part)``; an entity inside a query is one of them."""
     asked = queries.select(F.col("query_id").alias("q"), folded("query").alias("t")).where("t <> ''")
     at = asked.withColumn("i", F.explode(F.sequence(F.lit(1), F.length("t"))))
     parts = at.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(max(longest, 1)), F.length("t") - F.col("i") + 1))))

@@ -194,7 +194,7 @@ def _query_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("""
 with s as (select q.vec_id as query_id, d.vec_id as doc_id, list_cosine_similarity(q.embedding::double[], d.embedding::double[]) as score from embeddings q join embeddings d on q.vec_id % 20 = 0)
-select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0 qualify rank <= 10
+select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from s where score > 0 qualify rank <= 10
 """)
 def dense_topk(spark, folder):
     docs = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
@@ -203,8 +203,8 @@ def dense_topk(spark, folder):
 
 @query("""
 with s as (select q.vec_id as query_id, d.vec_id as doc_id, list_cosine_similarity(q.embedding[1:16]::double[], d.embedding[1:16]::double[]) as near, list_cosine_similarity(q.embedding::double[], d.embedding::double[]) as score from embeddings q join embeddings d on q.vec_id % 20 = 0),
-c as (select * from s where near > 0 qualify row_number() over (partition by query_id order by near desc, doc_id) <= 100)
-select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by score desc, doc_id) as rank from c where score > 0 qualify rank <= 10
+c as (select * from s where near > 0 qualify row_number() over (partition by query_id order by round(near, 9) desc, doc_id) <= 100)
+select query_id, doc_id, round(score, 6) as score, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) as rank from c where score > 0 qualify rank <= 10
 """)
 def mrl_two_stage(spark, folder):
     docs = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
