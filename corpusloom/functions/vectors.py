@@ -136,11 +136,45 @@ def _matrix(lists: pa.Array, width: int | None = None) -> tuple[np.ndarray, np.n
     return at[good], x[good] / n[good, None]
 
 
+#: Rows and queries of one matrix product; bounds memory, not results.
+ROW_PART, QUERY_PART = 2048, 512
+
+
+class Best:
+    """The best rows of each of some queries among all a task has seen; ties, told to nine digits, by id."""
+
+    def __init__(self, queries: int, n: int) -> None:
+        self.n = n
+        self.least = np.zeros(queries)
+        self.query, self.score, self.ids = np.zeros(0, np.int64), np.zeros(0), None
+
+    def offer(self, score: np.ndarray, ids: pa.Array, at: np.ndarray) -> None:
+        """Scores of the queries with the rows ``ids[at]``."""
+        least = self.least
+        if score.shape[1] > 2 * self.n and not least.all():  # early parts: only their own best can stay
+            least = np.maximum(least, np.partition(score, -self.n, axis=1)[:, -self.n])
+        i, j = np.nonzero((score > 0) & (score >= least[:, None] - 1e-9))
+        if not len(i):
+            return
+        new = ids.take(pa.array(at[j]))
+        every = new if self.ids is None else pa.concat_arrays([self.ids, new])
+        query, value = np.concatenate([self.query, i]), np.concatenate([self.score, score[i, j]])
+        place = np.empty(len(every), np.int64)
+        place[np.asarray(pa.compute.sort_indices(every))] = np.arange(len(every))
+        order = np.lexsort((place, -value.round(9), query))
+        query, value = query[order], value[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = rank < self.n
+        self.query, self.score, self.ids = query[keep], value[keep], every.take(pa.array(order[keep]))
+        full = rank[keep] == self.n - 1
+        self.least[self.query[full]] = self.score[full]
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, *, k: int, query_id: str = "query_id", query_vector: str = "vector", id_col: str = "doc_id", vector: str = "vector", keep_self: bool = True) -> DataFrame:
     """The ``k`` rows most similar to each query: ``(query_id, id, score, rank)``, scores above 0, ties by id.
 
     Queries are sent to the executors in blocks; every row meets every query of
-    a block in one matrix product, and only the best ``k`` of a batch go on.
+    a block in one matrix product, and only the best ``k`` of a task go on.
     Vectors that are null, empty, zero or of another width are left out.
     """
     spark = vectors.sparkSession
@@ -156,23 +190,17 @@ def top_k(queries: DataFrame, vectors: DataFrame, *, k: int, query_id: str = "qu
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             names, q = sent.value
-            for batch in batches:
+            parts = range(0, len(q), QUERY_PART)
+            best = [Best(min(QUERY_PART, len(q) - b), k + (not keep_self)) for b in parts]
+            for batch in batches if len(q) else ():
                 at, x = _matrix(batch.column(1), q.shape[1])
-                if not len(at) or not len(q):
-                    continue
-                ids = batch.column(0)
-                order = np.argsort(np.argsort(np.asarray(pa.compute.sort_indices(ids)), kind="stable"))[at]
-                for a in range(0, len(q), 512):
-                    score = q[a : a + 512] @ x.T
-                    n = min(k + (not keep_self), score.shape[1])
-                    cut = -np.partition(-score, n - 1, axis=1)[:, n - 1 : n] - 1e-9  # ties are told to nine digits
-                    i, j = np.nonzero((score >= cut) & (score > 0))
-                    if len(i) > 4 * n * len(score):  # many ties: the lowest ids stay
-                        o = np.lexsort((order[j], -score[i, j].round(9), i))
-                        i, j = i[o], j[o]
-                        keep = np.arange(len(i)) - np.searchsorted(i, i) < n
-                        i, j = i[keep], j[keep]
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(i + a)), ids.take(pa.array(at[j])), pa.array(np.minimum(score[i, j], 1.0))], names=["q", "d", "score"])
+                for a in range(0, len(at), ROW_PART):
+                    rows = x[a : a + ROW_PART]
+                    for own, b in zip(best, parts):
+                        own.offer(q[b : b + QUERY_PART] @ rows.T, batch.column(0), at[a : a + ROW_PART])
+            for own, b in zip(best, parts):
+                if own.ids is not None:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(own.query + b)), own.ids, pa.array(np.minimum(own.score, 1.0))], names=["q", "d", "score"])
 
         found = rows.mapInArrow(search, f"q {q_type}, d {d_type}, score double")
         out = found if out is None else out.unionByName(found)
