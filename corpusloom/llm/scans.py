@@ -10,26 +10,32 @@ over the words of a line.
 
 Rows are grouped by page only; what a page must know of its file or its
 neighbours comes to it through joins on file and key or file and page, so a
-file of any size is never in one task. The lexicon sent to the executors holds
-words and pairs that make up at least ``1 / LEXICON`` of the running text, so
-at most that many of each.
+file of any size is never in one task. The lexicon holds every word and pair
+used at least ``LEAST`` times, whatever the size of the corpus. It is sent to
+the executors whole if counted to have at most ``LEXICON`` entries; else groups
+of pages fetch the entries that their words need by a join on the words' forms.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import checkpointed
+from corpusloom.session import checkpointed, rows_within
 
-#: Most words, and most pairs of words, a lexicon can hold.
-LEXICON = 1_000_000
+#: Uses from which a word or pair counts as known, at every size: a single one may be a misreading.
+LEAST = 2
+#: Most entries of a lexicon that is sent to the executors whole.
+LEXICON = 200_000
+#: Pages that fetch their part of a larger lexicon together, and neighbouring pages of a file kept together.
+GROUP, RUN = 128, 32
 
 # What is read, and what it may stand for.
 CONFUSED = (
@@ -52,6 +58,7 @@ for _a, _b in CONFUSED:
         SINGLE.setdefault(_a, _b)
 
 
+@functools.lru_cache(maxsize=1 << 16)
 def skeleton(word: str) -> str:
     """One form of all readings of a word: words that a misreading can turn into each other share it."""
     s = word
@@ -81,29 +88,41 @@ def aligned(read: str, meant: str, cost: dict[tuple[str, str], float]) -> tuple[
 class Lexicon:
     """Corpus words and word pairs with their counts, and the channel estimated from them."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int) -> None:
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], total: int, cost: dict[tuple[str, str], float] | None = None) -> None:
         self.words, self.pairs, self.total = words, pairs, max(total, 1)
         self.by_form: dict[str, list[str]] = defaultdict(list)
         for w in words:
             if len(w) > 1:
                 self.by_form[skeleton(w)].append(w)
-        flat = dict.fromkeys(CONFUSED, math.log(0.01))
-        seen, chances = Counter(), Counter()
-        for group in self.by_form.values():
-            for w in group if len(group) > 1 else ():
-                for c in group:
-                    if words[c] > 4 * words[w] and (hit := aligned(w, c, flat)) and hit[1]:
-                        seen.update({k: words[w] for k in self.changes(w, c)})
-        letters = Counter()
-        for w, n in words.items():
-            for ch in set(w):
-                letters[ch] += n
-        for read, meant in CONFUSED:
-            chances[read, meant] = letters[meant[0]]
-        self.cost = {k: math.log(min(0.05, max(0.002, (seen[k] + 1) / (chances[k] + 200)))) for k in CONFUSED}
+        self.cost = cost or self.costs(self.evidence([(w, words[w]) for w in group] for group in self.by_form.values()), self.letters(words.items()))
         self.noise: dict[str, bool] = {}
         self.memo: dict[str, list] = {}
 
+    @classmethod
+    def evidence(cls, groups: Iterable[list[tuple[str, int]]]) -> Counter:
+        """How often each confusion seems to have happened, from groups of words of one form with their counts."""
+        flat = dict.fromkeys(CONFUSED, math.log(0.01))
+        seen: Counter = Counter()
+        for group in groups:
+            for w, n in group if len(group) > 1 else ():
+                for c, m in group:
+                    if m > 4 * n and (hit := aligned(w, c, flat)) and hit[1]:
+                        seen.update(dict.fromkeys(cls.changes(w, c), n))
+        return seen
+
+    @staticmethod
+    def letters(words: Iterable[tuple[str, int]]) -> Counter:
+        """How often a word holds each letter that can be misread."""
+        out: Counter = Counter()
+        for w, n in words:
+            for ch in set(w) & _MEANT:
+                out[ch] += n
+        return out
+
+    @staticmethod
+    def costs(seen: Counter, letters: Counter) -> dict[tuple[str, str], float]:
+        return {k: math.log(min(0.05, max(0.002, (seen[k] + 1) / (letters[k[1][0]] + 200)))) for k in CONFUSED}
+
     @staticmethod
     def changes(read: str, meant: str) -> list[tuple[str, str]]:
         """The confusions that turn one word into the other, from left to right."""
@@ -155,6 +174,7 @@ class Lexicon:
 
 
 _KNOWN = set(CONFUSED)
+_MEANT = {meant[0] for _, meant in CONFUSED}
 
 
 def decoded(tokens: list[str], lex: Lexicon) -> list[tuple[str, list[int]]]:
@@ -336,6 +356,34 @@ def running_lines(lines: list[tuple[int, int, str]], furniture: set[tuple[int, i
     return out
 
 
+def needed(lines: list[Line], before: str | None, after: str | None) -> set[tuple[str, str]]:
+    """Forms of the words, and of the pairs of words, that the repair of a page can look up."""
+    out: set[tuple[str, str]] = set()
+
+    def tied(cut: tuple[str, str], follow: str | None) -> list[str]:
+        m = TOKEN.match(follow or "")
+        if not m:
+            return []
+        a, b = TOKEN.findall(cut[0])[-1], m.group()
+        joined = [skeleton((a + b).lower()), skeleton(a.lower() + b.lower())]
+        out.update((x, "") for x in (*joined, skeleton(a.lower()), skeleton(b.lower()), skeleton(f"{a.lower()}-{b.lower()}")))
+        return joined[:1]
+
+    if before is not None and lines and (cut := broken_word(before)):
+        tied(cut, lines[0].text)
+    for i, line in enumerate(lines):
+        forms = [skeleton(t.lower()) for t in TOKEN.findall(line.text)]
+        out.update((x, "") for x in forms)
+        out.update(zip(forms, forms[1:]))
+        if cut := broken_word(line.text):
+            k = i + 1
+            while k < len(lines) and not re.search(r"[^\W\d_]", lines[k].text):
+                k += 1
+            for joined in tied(cut, lines[k].text if k < len(lines) else after):
+                out.update((x, joined) for x in forms[-2:-1])
+    return out
+
+
 def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexicon) -> tuple[list[tuple[int, int, str]], list[str]]:
     """Noise of the running lines of a page, and its repaired paragraphs.
 
@@ -460,8 +508,8 @@ def _furniture(pages: DataFrame) -> DataFrame:
     return joined.where(number | head).select("source_id", "page", "block_id", "line_no", F.when(F.col("what") == "head", "running_head").otherwise("page_no").alias("noise_kind")).distinct()
 
 
-def _lexicon(pages: DataFrame) -> Lexicon:
-    """Counts of words, ties and pairs of the running text of all files, bounded by their share of it."""
+def _counted(pages: DataFrame) -> DataFrame:
+    """Counts ``(a, b, n)`` of words and ties (``b`` empty) and of pairs of the running text of all files."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -483,16 +531,92 @@ def _lexicon(pages: DataFrame) -> Lexicon:
             keys = list(words)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64())], names=["a", "b", "n"])
 
-    counted = pages.select("blocks").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    total = counted.where("b = ''").agg(F.sum("n")).first()[0] or 0
-    rows = counted.where(F.col("n") >= max(2, math.ceil(total / LEXICON))).toArrow().to_pylist()
-    return Lexicon({r["a"]: r["n"] for r in rows if not r["b"]}, {(r["a"], r["b"]): r["n"] for r in rows if r["b"]}, total)
+    return pages.select("blocks").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _channel(entries: DataFrame) -> dict[tuple[str, str], float]:
+    """The channel of a lexicon ``(fa, fb, a, b, n)`` that is not sent whole; only sums by confusion and letter reach the driver."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            groups = [[(x["a"], x["n"]) for x in g] for g in batch.column(0).to_pylist()]
+            for (read, meant), n in Lexicon.evidence([x for x in g if len(x[0]) > 1] for g in groups).items():
+                seen[read, meant] += n
+            for ch, n in Lexicon.letters(x for g in groups for x in g).items():
+                seen["", ch] += n
+        keys = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([seen[k] for k in keys], pa.int64())], names=["a", "b", "n"])
+
+    groups = entries.where("fb = ''").groupBy("fa").agg(F.collect_list(F.struct("a", "n")).alias("words")).select("words")
+    rows = groups.mapInArrow(judge, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
+    return Lexicon.costs(Counter({(r["a"], r["b"]): r["n"] for r in rows if r["a"]}), Counter({r["b"]: r["n"] for r in rows if not r["a"]}))
+
+
+def _formed(entries: DataFrame) -> DataFrame:
+    """Entries ``(fa, fb, a, b, n)`` of a lexicon with the forms of their words."""
 
+    def form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [pa.array([skeleton(w) for w in batch.column(c).to_pylist()], pa.string()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*forms, *batch.columns], names=["fa", "fb", "a", "b", "n"])
+
+    return entries.select("a", "b", "n").mapInArrow(form, "fa string, fb string, a string, b string, n long")
+
+
+def _lexicon(entries: list[dict], total: int, cost: dict[tuple[str, str], float] | None = None) -> Lexicon:
+    return Lexicon({r["a"]: r["n"] for r in entries if not r["b"]}, {(r["a"], r["b"]): r["n"] for r in entries if r["b"]}, total, cost)
+
+
+def _running(r: dict) -> list[Line]:
+    return running_lines(page_lines(r["blocks"]), {(m["block_id"], m["line_no"]) for m in r["marks"] or ()})
+
+
+def _mended(rows: list[dict], lex: Lexicon | None) -> pa.RecordBatch:
+    """Noise and paragraphs of pages; those of files not scanned need no lexicon."""
+    out = []
+    for r in rows:
+        if not r["scanned"]:
+            texts = {b["block_id"]: b for b in r["blocks"]}
+            ordered = sorted(texts.values(), key=lambda b: (b["block_no"] is None, b["block_no"] or 0, b["block_id"]))
+            out.append((r["source_id"], r["page"], [], [b["text"] for b in ordered if b["text"] is not None]))
+            continue
+        run = _running(r)
+        across = page_noise_across(run, r["before"], lex)
+        noise, paragraphs = repaired(run, r["before"], r["after"], lex)
+        out.append((r["source_id"], r["page"], [dict(zip(("block_id", "line_no", "noise_kind"), x)) for x in {*noise, *across}], paragraphs))
+    cols = list(zip(*out)) or [[]] * 4
+    kind = pa.list_(pa.struct([("block_id", pa.int64()), ("line_no", pa.int32()), ("noise_kind", pa.string())]))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), kind, pa.list_(pa.string())))], names=["source_id", "page", "noise", "paragraphs"])
+
+
+MENDED = "source_id string, page int, noise array<struct<block_id:long,line_no:int,noise_kind:string>>, paragraphs array<string>"
 
-def _repaired(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def _fetched(full: DataFrame, entries: DataFrame, total: int) -> DataFrame:
+    """Repaired pages where each group of pages fetches the entries of the lexicon that it needs."""
+    spark = full.sparkSession
+    entries = checkpointed(_formed(entries))
+    cost = _channel(entries)
+    groups = max(spark.sparkContext.defaultParallelism, -(-full.count() // GROUP))
+    full = full.withColumn("g", F.pmod(F.xxhash64("source_id", F.floor(F.col("page") / RUN)), F.lit(groups)))
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list({(r["g"], *k) for r in batch.to_pylist() for k in needed(_running(r), r["before"], r["after"])})
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["g", "fa", "fb"])
+
+    def mend(pages: pa.Table, lexicon: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_mended(pages.to_pylist(), _lexicon(lexicon.to_pylist(), total, cost))])
+
+    keys = full.mapInArrow(need, "g long, fa string, fb string").distinct()
+    found = keys.join(entries, ["fa", "fb"]).select("g", "a", "b", "n")
+    return full.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(mend, MENDED)
+
+
+def _repaired(blocks: DataFrame, lexicon_rows: int = LEXICON) -> tuple[DataFrame, DataFrame]:
     pages = checkpointed(_pages(blocks))  # read by the furniture, the lexicon and both repairs
     furniture = checkpointed(_furniture(pages))
-    lex = blocks.sparkSession.sparkContext.broadcast(_lexicon(pages))
     marks = furniture.groupBy("source_id", "page").agg(F.collect_set(F.struct("block_id", "line_no")).alias("marks"))
     known = pages.join(marks, ["source_id", "page"], "left")
 
@@ -512,25 +636,17 @@ def _repaired(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
     sides = sides.groupBy("source_id", "page").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     full = known.join(sides, ["source_id", "page"], "left")
 
-    def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                lines = page_lines(r["blocks"])
-                if not r["scanned"]:
-                    texts = {b["block_id"]: b for b in r["blocks"]}
-                    ordered = sorted(texts.values(), key=lambda b: (b["block_no"] is None, b["block_no"] or 0, b["block_id"]))
-                    out.append((r["source_id"], r["page"], [], [b["text"] for b in ordered if b["text"] is not None]))
-                    continue
-                run = running_lines(lines, {(m["block_id"], m["line_no"]) for m in r["marks"] or ()})
-                across = page_noise_across(run, r["before"], lex.value)
-                noise, paragraphs = repaired(run, r["before"], r["after"], lex.value)
-                out.append((r["source_id"], r["page"], [dict(zip(("block_id", "line_no", "noise_kind"), x)) for x in {*noise, *across}], paragraphs))
-            cols = list(zip(*out)) or [[]] * 4
-            kind = pa.list_(pa.struct([("block_id", pa.int64()), ("line_no", pa.int32()), ("noise_kind", pa.string())]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), kind, pa.list_(pa.string())))], names=["source_id", "page", "noise", "paragraphs"])
-
-    return full.mapInArrow(mend, "source_id string, page int, noise array<struct<block_id:long,line_no:int,noise_kind:string>>, paragraphs array<string>"), furniture
+    counted = checkpointed(_counted(pages))
+    total = counted.where("b = ''").agg(F.sum("n")).first()[0] or 0
+    entries = counted.where(F.col("n") >= LEAST)
+    plain, scans = full.where("not scanned"), full.where("scanned")
+    mended = plain.mapInArrow(lambda batches: (_mended(b.to_pylist(), None) for b in batches), MENDED)
+    if rows_within(entries, lexicon_rows):
+        lex = blocks.sparkSession.sparkContext.broadcast(_lexicon(entries.toArrow().to_pylist(), total))
+        scans = scans.mapInArrow(lambda batches: (_mended(b.to_pylist(), lex.value) for b in batches), MENDED)
+    else:
+        scans = _fetched(scans, entries, total)
+    return mended.unionByName(scans), furniture
 
 
 def scanned_noise(blocks: DataFrame) -> DataFrame:

@@ -65,3 +65,17 @@ def test_channel():
     for read, want in (("forwarcl", "forward"), ("ciistomer", "customer"), ("joumal", "journal"), ("5ize", "size"), ("utf8", "utf8"), ("other", "other")):
         assert sc.decoded([read], lex)[0][0] == want
     assert sc.decoded(["forwarcl"], lex)[0][1] == [6, 7]
+
+
+def test_rare_words_count_at_every_size_of_the_corpus(spark, blocks):
+    rows = [(1, "scan", 1, 0, "The tamwes rejects links.\nThe tarnwes rejects links.\nThe tamwes rejects links.", 0.8, "x", "en")]
+    rows += [(10 + i, "long", i, 0, ("links and rows " * 100 + "\n") * 100, None, "x", "en") for i in range(70)]
+    df = spark.createDataFrame(rows, SHAPE)
+    assert {tuple(x) for x in sc.scanned_noise(df).collect()} == {(1, 2, "wrong_char")}
+
+
+def test_fetched_entries_repair_as_the_whole_lexicon(spark, blocks, monkeypatch):
+    df = spark.createDataFrame(blocks, SHAPE)
+    whole = {str(x) for x in sc._repaired(df)[0].collect()}
+    monkeypatch.setattr(sc, "GROUP", 2)
+    assert {str(x) for x in sc._repaired(df, lexicon_rows=0)[0].collect()} == whole
