@@ -4,7 +4,8 @@ Characters are tagged as boundary or inside by a linear-chain model decoded
 with Viterbi. Only places where a unit can end are open to both tags (after a
 final mark and what closes with it, at line breaks, at spaces between Thai
 letters); all others are inside, and a place beyond doubt keeps its tag. Weights are those of an averaged structured
-perceptron, trained on a bounded sample of the texts themselves: where marks
+perceptron, trained on a bounded sample of the texts themselves; how words begin,
+end and follow each other is counted over all distinct texts. Where marks
 and letter case leave no doubt they label it, and the same sentences with
 their marks stripped and joined by line breaks teach the model, through how
 often a word begins or ends a sentence, to find boundaries no mark shows.
@@ -16,12 +17,17 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.session import checkpointed, rows_within
+
+#: Most counts of words and pairs that are sent to the executors whole, and texts that fetch theirs together.
+COUNTS, GROUP = 200_000, 512
+
 # Marks that can end a sentence, the wide ones that need no white space, what opens and closes.
 FINAL = ".!?…。！？।॥؟۔"
 GLUED = "。！？।॥"
@@ -254,6 +260,16 @@ class Model:
         self.ends: dict[str, float] = {}
         self.inside: dict[tuple[str, str], int] = {}
 
+    def load(self, entries: Iterable[tuple[str, str, int, int, int]]) -> Model:
+        """Take the counts of words and pairs as :func:`_entries` gives them."""
+        for a, b, n, start, end in entries:
+            if b:
+                self.inside[a, b] = n
+            else:
+                self.starts[a] = math.log((start + 0.2) / (max(n - start, 0) + 0.2))
+                self.ends[a] = math.log((end + 0.2) / (max(n - end, 0) + 0.2))
+        return self
+
     def expanded(self, p: Place) -> list[str]:
         """The features of a place, its words replaced by classes of their counts."""
         f = [x for x in p.features if not x.startswith(("lex:", "first:"))]
@@ -310,9 +326,10 @@ class Model:
         return out[::-1]
 
 
-def _counts(model: Model, texts: list[str]) -> list[tuple[str, list[Place]]]:
-    """Count how words begin, end and follow each other inside sentences, at places beyond doubt; gives the paragraphs seen."""
-    start, end, total, pairs, seen = Counter(), Counter(), Counter(), Counter(), []
+def tally(texts: Iterable[str]) -> tuple[dict[str, Counter], list[tuple[str, list[Place]]]]:
+    """Counts of how words begin (``s``), end (``e``) and follow each other inside sentences (``p``) at places beyond doubt, of all
+    words (``w``) and of the words around doubtful line breaks (``b``), by pairs of words; and the paragraphs seen."""
+    got, seen = {k: Counter() for k in "wsepb"}, []
     for text in texts:
         for a, b in paragraphs(text):
             para = text[a:b].strip()
@@ -324,34 +341,49 @@ def _counts(model: Model, texts: list[str]) -> list[tuple[str, list[Place]]]:
             for m in WORD.finditer(para):
                 w = m.group()
                 w = w[:2] if script(w[0]) in ("han", "thai") else w
-                total[w] += 1
+                got["w"][w, ""] += 1
                 if para[gone : m.start()] == " ":
-                    pairs[last, w] += 1
+                    got["p"][last, w] += 1
                 last, gone = w, m.end()
             sure = [p for p in spots if p.label == 1 and p.kind != "space"]
             firsts = [_first_word(para, 0), *[_first_word(para, p.next) for p in sure]]
-            start.update(x for x in firsts if x)
-            tails = [para[: p.end].rstrip(FINAL + CLOSERS + "  ") for p in sure] + [para.rstrip(FINAL + CLOSERS + "  ")]
-            end.update(x for t in tails if (x := _last_word(t, len(t))))
-    odds = lambda table: {w: math.log((table[w] + 0.2) / (max(n - table[w], 0) + 0.2)) for w, n in total.items() if n > 1}
-    model.starts, model.ends = odds(start), odds(end)
-    for (a, b), n in pairs.items():
-        key = a, b if b in model.starts else "?"
-        model.inside[key] = model.inside.get(key, 0) + n
-    return seen
-
-
-def wrap_share(model: Model, seen: list[tuple[str, list[Place]]]) -> float:
+            got["s"].update((x, "") for x in firsts if x)
+            tails = [para[: p.end].rstrip(FINAL + CLOSERS + "  ") for p in sure] + [para.rstrip(FINAL + CLOSERS + "  ")]
+            got["e"].update((x, "") for t in tails if (x := _last_word(t, len(t))))
+            got["b"].update(_around(p) for p in spots if p.label is None and not p.mark and "lexical" in p.features)
+    return got, seen
+
+
+def _around(p: Place) -> tuple[str, str]:
+    at = p.features.index("lexical")
+    return p.features[at + 1], p.features[at + 2]
+
+
+def wanted(spots: Iterable[Place]) -> set[tuple[str, str]]:
+    """The words, and pairs of words, whose counts the features of places are made of."""
+    out = set()
+    for p in spots:
+        if "lexical" in p.features:
+            prev, first = _around(p)
+            out |= {(prev, ""), (first, ""), (prev, first), (prev, "?")}
+        else:
+            out |= {(x[6:], "") for x in p.features if x.startswith("first:")}
+    return out
+
+
+def _local(got: dict[str, Counter]) -> list[tuple[str, str, int, int, int]]:
+    """Counts of words used more than once and of pairs, as :func:`_entries` gives them."""
+    out = [(w, "", n, got["s"][w, ""], got["e"][w, ""]) for (w, _), n in got["w"].items() if n > 1]
+    known, pairs = {x[0] for x in out}, Counter()
+    for (a, b), n in got["p"].items():
+        pairs[a, b if b in known else "?"] += n
+    return out + [(a, b, n, 0, 0) for (a, b), n in pairs.items()]
+
+
+def wrap_share(model: Model, breaks: Counter) -> float:
     """Share of the doubtful line breaks between two words that also follow each other inside sentences."""
-    known = wrapped = 0
-    for _, spots in seen:
-        for p in spots:
-            if p.label is None and not p.mark and "lexical" in p.features:
-                at = p.features.index("lexical")
-                prev, first = p.features[at + 1 : at + 3]
-                if first in model.starts:
-                    known += 1
-                    wrapped += model.inside.get((prev, first), 0) > 2
+    known = sum(n for (_, first), n in breaks.items() if first in model.starts)
+    wrapped = sum(n for (prev, first), n in breaks.items() if first in model.starts and model.inside.get((prev, first), 0) > 2)
     return (wrapped + 0.5) / (known + 1)
 
 
@@ -394,21 +426,28 @@ def stripped(seen: list[tuple[str, list[Place]]], share: float) -> Iterator[tupl
         yield "".join(out), marks
 
 
-def fit(texts: list[str], rounds: int = 5) -> Model:
-    """A model trained on texts in a fixed order; the same texts give the same model."""
+def fit(texts: list[str], rounds: int = 5, share: float | None = None, fetch: Callable[[set[tuple[str, str]]], Iterable[tuple]] | None = None) -> Model:
+    """A model trained on texts in a fixed order; the same texts give the same model.
+
+    ``share`` and ``fetch`` give the share of wrapped lines and the counts of
+    wanted words and pairs in a larger collection; else the texts are counted.
+    """
     model = Model()
-    seen = _counts(model, texts)
-    data: list[tuple[str, list[Place], list[list[str]]]] = []
-    for para, spots in seen:
-        if spots:
-            data.append((para, spots, [model.expanded(p) for p in spots]))
-    for text, marks in stripped(seen, wrap_share(model, seen)):
+    got, seen = tally(texts)
+    if fetch is None:
+        model.load(_local(got))
+        share = wrap_share(model, got["b"])
+    given = [(para, spots) for para, spots in seen if spots]
+    for text, marks in stripped(seen, share):
         truth = dict(marks)
         spots = [p for p in places(text) if p.end in truth or p.label is not None]
         for p in spots:
             p.label = truth.get(p.end, p.label)
             p.own = int(truth.get(p.end) == 0)
-        data.append((text, spots, [model.expanded(p) for p in spots]))
+        given.append((text, spots))
+    if fetch is not None:
+        model.load(fetch(wanted(p for _, spots in given for p in spots)))
+    data = [(text, spots, [model.expanded(p) for p in spots]) for text, spots in given]
     total: dict[str, float] = defaultdict(float)
     step = 1
     for _ in range(rounds):
@@ -453,39 +492,115 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
     return [(x, y) for x, y in out if y > x]
 
 
+def _entries(texts: DataFrame) -> tuple[DataFrame, float]:
+    """Counts ``(a, b, n, s, e)`` over all texts ``t``, and the share of wrapped lines.
+
+    Words used more than once have ``b`` empty and how often they begin and end
+    a sentence; pairs have both words, the second as ``?`` if used once only.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got, _ = tally(batch.column(0).to_pylist())
+            rows = [(k, a, b, n) for k, table in got.items() for (a, b), n in table.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["kind", "a", "b", "n"])
+
+    counts = checkpointed(texts.select("t").mapInArrow(count, "kind string, a string, b string, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n")))
+    own = lambda k: F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias({"w": "n"}.get(k, k))
+    words = counts.where("kind in ('w', 's', 'e')").groupBy("a").agg(own("w"), own("s"), own("e")).where("n > 1")
+    known = words.select(F.col("a").alias("b"), F.lit(True).alias("known"))
+    pairs = counts.where("kind = 'p'").join(known, "b", "left").groupBy("a", F.when(F.col("known"), F.col("b")).otherwise("?").alias("b")).agg(F.sum("n").alias("n"))
+    entries = checkpointed(words.select("a", F.lit("").alias("b"), "n", "s", "e").unionByName(pairs.select("a", "b", "n", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e"))))
+    breaks = counts.where("kind = 'b'").select("a", "b", F.col("n").alias("k")).join(known, "b").join(entries.where("b != '' and n > 2").select("a", "b", F.lit(1).alias("often")), ["a", "b"], "left")
+    k, wrapped = breaks.agg(F.sum("k"), F.sum(F.col("k") * F.col("often"))).first()
+    return entries, ((wrapped or 0) + 0.5) / ((k or 0) + 1)
+
+
+def _texts(documents: DataFrame, text: str) -> DataFrame:
+    """Every text ``t`` that is not blank, once."""
+    return documents.select(F.col(text).cast("string").alias("t")).where("length(trim(t)) > 0").distinct()
+
+
+def _fitted(documents: DataFrame, text: str, sample_rows: int) -> tuple[Model, DataFrame]:
+    """The model fitted on at most ``sample_rows`` distinct texts, with the counts its own places want, and all counts."""
+    texts = _texts(documents, text)
+    entries, share = _entries(texts)
+    picked = texts.withColumn("h", F.xxhash64("t")).orderBy("h", "t").limit(sample_rows).toArrow().column("t").to_pylist()
+
+    def fetch(keys: set[tuple[str, str]]) -> Iterator[tuple]:
+        table = pa.table({"a": pa.array([k[0] for k in keys], pa.string()), "b": pa.array([k[1] for k in keys], pa.string())})
+        return map(_row, entries.join(documents.sparkSession.createDataFrame(table), ["a", "b"]).toArrow().to_pylist()) if keys else iter(())
+
+    return fit(picked, share=share, fetch=fetch), entries
+
+
+def _row(r: dict) -> tuple[str, str, int, int, int]:
+    return r["a"], r["b"], r["n"], r["s"], r["e"]
+
+
 def fit_sample(documents: DataFrame, *, key: str, text: str, sample_rows: int = 3000) -> Model:
-    """The model of at most ``sample_rows`` texts, the first by a hash of key and text."""
-    rows = documents.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t")).where("length(trim(t)) > 0")
-    picked = rows.orderBy("h", "t").limit(sample_rows).toArrow()
-    return fit(picked.column("t").to_pylist())
+    """The model with the counts of all texts, its weights fitted on at most ``sample_rows`` distinct texts, the first by a hash."""
+    model, entries = _fitted(documents, text, sample_rows)
+    return model.load(map(_row, entries.toArrow().to_pylist()))
 
 
-def sentence_units(documents: DataFrame, *, key: str, text: str, model: Model | None = None, sample_rows: int = 3000) -> DataFrame:
+def sentence_units(documents: DataFrame, *, key: str, text: str, model: Model | None = None, sample_rows: int = 3000, count_rows: int = COUNTS) -> DataFrame:
     """Sentence units ``(key, unit_no, start_char, end_char, sentence)`` of every text.
 
     Positions count characters from 0, the end exclusive, white space at either
-    end left out. Without a model one is fitted on a bounded sample.
+    end left out. Without a model one is fitted: weights on a bounded sample, counts of
+    words over all distinct texts. Counts of more than ``count_rows`` words and
+    pairs are not sent to the executors; groups of texts fetch what they need.
 
     Defined cases: null, empty and blank texts have no units; repeated rows give
     theirs again; an empty table gives none; texts of any length are cut at
     blank lines first, so time grows with their length; other columns are
     ignored.
     """
-    model = model or fit_sample(documents, key=key, text=text, sample_rows=sample_rows)
-    sent = documents.sparkSession.sparkContext.broadcast(model)
+    entries = None
+    if model is None:
+        model, entries = _fitted(documents, text, sample_rows)
+        if rows_within(entries, count_rows):
+            model.load(map(_row, entries.toArrow().to_pylist()))
+            entries = None
+    spark = documents.sparkSession
     kind = documents.schema[key].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            who, no, start, end, piece = [], [], [], [], []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for j, (a, b) in enumerate(units(t, sent.value)):
-                    who.append(i)
-                    no.append(j)
-                    start.append(a)
-                    end.append(b)
-                    piece.append(t[a:b])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(who, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(piece, pa.string())], names=["k", "unit_no", "start_char", "end_char", "sentence"])
+    shape = f"k {kind}, unit_no int, start_char int, end_char int, sentence string"
+
+    def pieces(keys: pa.Array, texts: list[str], model: Model) -> pa.RecordBatch:
+        who, no, start, end, piece = [], [], [], [], []
+        for i, t in enumerate(texts):
+            for j, (a, b) in enumerate(units(t, model)):
+                who.append(i)
+                no.append(j)
+                start.append(a)
+                end.append(b)
+                piece.append(t[a:b])
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(who, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(piece, pa.string())], names=["k", "unit_no", "start_char", "end_char", "sentence"])
 
     rows = documents.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
-    return rows.mapInArrow(cut, f"k {kind}, unit_no int, start_char int, end_char int, sentence string").withColumnRenamed("k", key)
+    if entries is None:
+        sent = spark.sparkContext.broadcast(model)
+        cut = rows.mapInArrow(lambda batches: (pieces(b.column(0), b.column(1).to_pylist(), sent.value) for b in batches), shape)
+        return cut.withColumnRenamed("k", key)
+    sent = spark.sparkContext.broadcast(model.weight)
+    groups = max(spark.sparkContext.defaultParallelism, -(-rows.count() // GROUP))
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("k", "t"), F.lit(groups)))
+
+    def need(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = set()
+            for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for a, b in paragraphs(t):
+                    keys |= {(g, *x) for x in wanted(p for p in places(t[a:b].strip()) if p.label is None)}  # known labels are kept
+            keys = list(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["g", "a", "b"])
+
+    def cut_group(texts: pa.Table, counts: pa.Table) -> pa.Table:
+        own = Model()
+        own.weight = sent.value
+        own.load(map(_row, counts.to_pylist()))
+        return pa.Table.from_batches([pieces(texts.column("k").combine_chunks(), texts.column("t").to_pylist(), own)])
+
+    found = rows.select("g", "t").distinct().mapInArrow(need, "g long, a string, b string").distinct().join(entries, ["a", "b"])
+    return rows.groupBy("g").cogroup(found.groupBy("g")).applyInArrow(cut_group, shape).withColumnRenamed("k", key)

@@ -77,3 +77,24 @@ def test_spark(spark):
     assert got.count() == 12 and got.distinct().count() == 10
     assert got.where(F.length("sentence") != F.col("end_char") - F.col("start_char")).count() == 0
     assert se.sentence_units(df.limit(0), key="id", text="text").count() == 0
+
+
+def _break_rows():
+    """Distinct texts of several languages, and one text repeated often."""
+    known = [(f"k{i}", f"{own[i % len(own)]} {own[(i + 1) % len(own)]}\n{own[(i + 2) % len(own)]} {i}.", "x", 1) for own in LINES.values() for i in range(12)]
+    return known + [("dup", "Some text. And more.", "x", 1)] * 60
+
+
+def test_counts_cover_all_distinct_texts(spark):
+    df = spark.createDataFrame(_break_rows(), "id string, text string, sentence string, k int")
+    model = se.fit_sample(df, key="id", text="text", sample_rows=1)
+    texts = sorted({r[1] for r in _break_rows()})
+    want = se.Model().load(se._local(se.tally(texts)[0]))
+    assert model.starts == want.starts and model.ends == want.ends and model.inside == want.inside
+    assert abs(se._entries(se._texts(df, "text"))[1] - se.wrap_share(want, se.tally(texts)[0]["b"])) < 1e-9
+
+
+def test_fetched_counts_cut_as_the_whole(spark):
+    df = spark.createDataFrame(_break_rows(), "id string, text string, sentence string, k int")
+    whole, fetched = ({tuple(x) for x in se.sentence_units(df, key="id", text="text", count_rows=n).collect()} for n in (10**9, 0))
+    assert whole == fetched and len(whole) > 100
