@@ -1,7 +1,7 @@
 """References to records that do not exist, are gone, or arrive later.
 
-Plan: references are pre-aggregated per key and period; keys that hold more
-than ``heavy_share`` of all references are *heavy* (at most ``1/heavy_share``
+Plan: references are counted per key and period, only to tell which keys are
+heavy; all checks run on the references themselves. Keys that hold more than ``heavy_share`` of all references are *heavy* (at most ``1/heavy_share``
 of them exist, whatever the data size). Heavy references meet the timelines of
 their targets through a broadcast whose size is counted first, so they are
 never shuffled on their key. All other references are shuffled once and
