@@ -2,10 +2,11 @@
 
 Sizes are whole numbers up to the capacity, so the instance is its histogram,
 whatever the number of texts. On it the dominance reduction of Martello and
-Toth fixes small sets that no other set with the same largest item can beat,
-in bulk; best-fit decreasing packs what remains, also in bulk. The plan, a few
-thousand runs of equal containers, goes back to the rows, which find their
-place by their rank among the items of their size. Ranks are taken per size
+Toth fixes small sets that no other set with the same item can beat, in bulk;
+best-fit decreasing packs what remains, also in bulk, and where that is above
+the bound of the sum of sizes, containers filled one by one do if they are
+fewer. The plan, a few thousand runs of equal containers, goes back to the
+rows, which find their place by their rank among the items of their size. Ranks are taken per size
 and salt, so a size that many texts share is no hot group, and the texts
 themselves are never shuffled.
 """
@@ -14,8 +15,8 @@ from __future__ import annotations
 
 import base64
 import functools
-import importlib.util
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -30,24 +31,30 @@ from corpusloom.session import checkpointed
 TOKENIZERS = "/opt/tokenizers"
 
 
+#: Fixed value: the public pattern that cuts a text before its bytes are merged.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def read_ranks(folder: str, name: str) -> bytes:
+    """The ranks file of a byte-level BPE; read where the job is planned, executors are sent its bytes."""
+    return Path(folder, name).read_bytes()
+
+
 @functools.lru_cache(maxsize=4)
-def tokenizer(folder: str, name: str):
-    """A byte-level BPE encoder read from the ranks file ``name`` in ``folder``."""
+def tokenizer(ranks: bytes, pattern: str = PATTERN):
+    """A byte-level BPE encoder of the bytes of a ranks file."""
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("tokenizer_folder", Path(folder, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    with open(Path(folder, name), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=module.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
-def token_counts(texts: DataFrame, *, key: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
+def token_counts(texts: DataFrame, *, key: str, text: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken", pattern: str = PATTERN) -> DataFrame:
     """``(key, n_tokens)`` of every row; a null text has no tokens."""
+    sent = texts.sparkSession.sparkContext.broadcast(read_ranks(folder, name))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(folder, name).encode_ordinary
+        encode = tokenizer(sent.value, pattern).encode_ordinary
         for batch in batches:
             n = [len(encode(t.as_py())) if t.is_valid else 0 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["k", "n"])
@@ -66,56 +73,123 @@ class Plan:
     def add(self, count: int, content: list[tuple[int, int]]) -> None:
         self.runs.append([count, content])
 
+    def containers(self) -> int:
+        return sum(count for count, _ in self.runs)
+
+
+def _fit_beside(sizes: list[int], count: np.ndarray, room: int) -> int:
+    """How many of the smallest items fit into ``room`` together, 3 standing for more than two."""
+    n = 0
+    for s in sizes:
+        take = min(3 - n, int(count[s]), room // s)
+        n, room = n + take, room - take * s
+        if n == 3 or take < count[s]:
+            break
+    return n
+
 
-def _best_pair(sizes: list[int], count: np.ndarray, room: int) -> int:
-    """The largest sum of two items that fits ``room``; 0 if none does."""
-    i, j, best = 0, bisect_left(sizes, room) - 1, 0
+def _best_pair(sizes: list[int], count: np.ndarray, room: int) -> tuple[int, int]:
+    """The two items, the larger first, with the largest sum that fits ``room``; zeros if no two fit."""
+    i, j, best = 0, bisect_left(sizes, room) - 1, (0, 0)
     while i <= j:
         if sizes[i] + sizes[j] > room or (i == j and count[sizes[i]] < 2):
             j -= 1
             continue
-        best = max(best, sizes[i] + sizes[j])
+        if sizes[i] + sizes[j] > sum(best):
+            best = sizes[j], sizes[i]
         i += 1
     return best
 
 
-def reduce_dominated(count: np.ndarray, plan: Plan) -> None:
-    """Fix containers whose set dominates every other with the same largest item; ``count`` keeps the rest.
+def _dominating(w: int, count: np.ndarray, capacity: int) -> list[int] | None:
+    """The items that go with an item of size ``w`` (no more counted) in some best packing, or None if that is not proven."""
+    sizes = [int(s) for s in np.flatnonzero(count)]
+    room = capacity - w
+    fit = bisect_left(sizes, room + 1)
+    if not fit:
+        return []
+    mate = sizes[fit - 1]
+    if mate == room:
+        return [mate]
+    beside = _fit_beside(sizes[:fit], count, room)
+    if beside == 1:
+        return [mate]
+    if beside > 2:  # three may go where no pair does: nothing is proven
+        return None
+    a, b = _best_pair(sizes, count, room)
+    if mate >= a + b:
+        return [mate]
+    if mate == a:
+        # {a, b} stands for every single item and for every pair but one of two items larger than b
+        above = [s for s in sizes[bisect_left(sizes, b + 1) : fit] for _ in range(min(2, int(count[s])))][:2]
+        if len(above) < 2 or sum(above) > room:
+            return [a, b]
+    return None
+
 
-    A set dominates when it is full; when nothing fits beside the item; when
-    only one item fits and it is the largest that does; or when that one is at
-    least as large as any two that fit together.
+def reduce_dominated(count: np.ndarray, plan: Plan) -> None:
+    """Fix containers whose set dominates every other that holds the same item; ``count`` keeps the rest.
+
+    After Martello and Toth: nothing fits beside the item; its mate, the
+    largest that fits, fills the container or is the only kind of companion;
+    where no more than two fit beside it, the mate is as large as any two
+    together, or is one of the best two and no other pair has both larger than
+    the second. Where three may fit no pair is fixed. Removing items never
+    makes such a set lose its dominance, so equal containers are fixed in bulk.
     """
-    capacity, changed = plan.capacity, True
+    changed = True
     while changed:
         changed = False
-        for w in range(capacity, 0, -1):
+        for w in range(plan.capacity, 0, -1):
             while count[w]:
                 count[w] -= 1
-                sizes = [int(s) for s in np.flatnonzero(count)]
-                room = capacity - w
-                fit = bisect_left(sizes, room + 1)
-                if not fit:
-                    count[w] += 1
-                    n, mate = int(count[w]), 0
-                else:
-                    mate = sizes[fit - 1]
-                    two = sizes[0] * 2 if count[sizes[0]] > 1 else sizes[0] + (sizes[1] if len(sizes) > 1 else capacity)
-                    count[w] += 1
-                    if mate != room and two <= room and mate < _best_pair(sizes, count, room):
-                        break
-                    n = int(count[w]) // 2 if mate == w else int(min(count[w], count[mate]))
-                    if not n:
-                        break
-                count[w] -= n
-                content = [(w, 1)]
-                if mate:
-                    count[mate] -= n
-                    content = [(w, 2)] if mate == w else [(w, 1), (mate, 1)]
-                plan.add(n, content)
+                mates = _dominating(w, count, plan.capacity)
+                count[w] += 1
+                if mates is None:
+                    break
+                content = Counter([w, *mates])
+                n = min(int(count[s]) // k for s, k in content.items())
+                for s, k in content.items():
+                    count[s] -= n * k
+                plan.add(n, sorted(content.items(), reverse=True))
                 changed = True
 
 
+def fullest(count: np.ndarray, room: int) -> list[tuple[int, int]]:
+    """Items that fill ``room`` as far as any do, large ones first."""
+    reached, steps = 1, []
+    mask = (1 << room + 1) - 1
+    for s in np.flatnonzero(count[: room + 1])[::-1].tolist():
+        n, part = min(int(count[s]), room // s), 1
+        while n:
+            take = min(part, n)
+            steps.append((reached, s, take))
+            reached |= reached << s * take & mask
+            n, part = n - take, part * 2
+        if reached >> room & 1:
+            break
+    at, used = reached.bit_length() - 1, Counter()
+    for before, s, take in reversed(steps):
+        if not before >> at & 1:
+            at -= s * take
+            used[s] += take
+    return sorted(used.items(), reverse=True)
+
+
+def fill_each(count: np.ndarray, plan: Plan) -> None:
+    """Containers filled one after the other, each around the largest item left as far as possible, equal ones together."""
+    for w in range(plan.capacity, 0, -1):
+        while count[w]:
+            count[w] -= 1
+            content = Counter({w: 1})
+            content.update(dict(fullest(count, plan.capacity - w)))
+            count[w] += 1
+            n = min(int(count[s]) // k for s, k in content.items())
+            for s, k in content.items():
+                count[s] -= n * k
+            plan.add(n, sorted(content.items(), reverse=True))
+
+
 def best_fit(count: np.ndarray, plan: Plan) -> None:
     """Best-fit decreasing of the items left, equal containers together."""
     rooms: list[int] = []
@@ -160,13 +234,21 @@ def best_fit(count: np.ndarray, plan: Plan) -> None:
 
 
 def packing_plan(histogram: dict[int, int], capacity: int) -> Plan:
-    plan, count = Plan(capacity), np.zeros(capacity + 1, np.int64)
+    """Dominance reduction, then best fit of the rest; where that uses more than the fewest containers its sum allows, filling container by container if it uses fewer."""
+    fixed, count = Plan(capacity), np.zeros(capacity + 1, np.int64)
     for size, n in histogram.items():
         if size:
             count[size] += n
-    reduce_dominated(count, plan)
-    best_fit(count, plan)
-    return plan
+    reduce_dominated(count, fixed)
+    plans = []
+    for pack in (best_fit, fill_each):
+        plan = Plan(capacity)
+        pack(count.copy(), plan)
+        plans.append(plan)
+        if plan.containers() <= -(-int(count @ np.arange(capacity + 1)) // capacity):
+            break
+    fixed.runs += min(plans, key=Plan.containers).runs
+    return fixed
 
 
 def plan_arrays(plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -88,17 +89,40 @@ def best(items, capacity):
     return low
 
 
-@pytest.mark.parametrize("seed", range(25))
+@pytest.mark.parametrize("seed", range(400))
 def test_reduction_keeps_the_optimum(seed):
     r = random.Random(100 + seed)
-    items = [r.randint(1, 10) for _ in range(8)]
-    count = pk.np.zeros(11, pk.np.int64)
+    capacity = r.choice([10, 12, 20, 30])
+    low, high = (1, capacity) if seed % 2 else (max(1, capacity // 6), capacity * 2 // 3)
+    items = [r.randint(low, high) for _ in range(r.randint(3, 9))]
+    count = pk.np.zeros(capacity + 1, pk.np.int64)
     for s in items:
         count[s] += 1
-    plan = pk.Plan(10)
+    plan = pk.Plan(capacity)
     pk.reduce_dominated(count, plan)
-    rest = [s for s in range(11) for _ in range(count[s])]
-    assert sum(m for m, _ in plan.runs) + best(rest, 10) == best(items, 10)
+    rest = [s for s in range(capacity + 1) for _ in range(count[s])]
+    assert plan.containers() + best(rest, capacity) == best(items, capacity)
+    assert best(items, capacity) <= pk.packing_plan(dict(Counter(items)), capacity).containers() <= best(items, capacity) + 1
+
+
+def test_no_pair_is_fixed_where_three_fit():
+    have = {10: 1, 8: 2, 4: 1, 3: 3}
+    count = pk.np.zeros(21, pk.np.int64)
+    for s, n in have.items():
+        count[s] = n
+    plan = pk.Plan(20)
+    pk.reduce_dominated(count, plan)
+    assert not plan.runs and pk.packing_plan(have, 20).containers() == 2
+
+
+def test_reduction_fixes_what_dominates():
+    for have, capacity, fixed in (({7: 2, 3: 2}, 10, [(7, 1), (3, 1)]), ({8: 1, 5: 1}, 10, [(8, 1)]), ({6: 1, 3: 1, 2: 1}, 10, [(6, 1), (3, 1)]), ({10: 1, 5: 1, 4: 1}, 20, [(10, 1), (5, 1), (4, 1)])):
+        count = pk.np.zeros(capacity + 1, pk.np.int64)
+        for s, n in have.items():
+            count[s] = n
+        plan = pk.Plan(capacity)
+        pk.reduce_dominated(count, plan)
+        assert fixed in [content for _, content in plan.runs]
 
 
 def test_pack_texts(spark):
@@ -111,7 +135,7 @@ def test_pack_texts(spark):
     for x in got:
         sums[x["container_id"]] = sums.get(x["container_id"], 0) + x["n_tokens"]
     assert max(sums.values()) <= 256 and sorted(sums) == list(range(len(sums)))
-    encode = pk.tokenizer(pk.TOKENIZERS, "byte_bpe_50k.tiktoken").encode_ordinary
+    encode = pk.tokenizer(pk.read_ranks(pk.TOKENIZERS, "byte_bpe_50k.tiktoken")).encode_ordinary
     assert sum(sums.values()) == sum(len(encode(t or "")) for _, t in rows)
     long = sorted((x["piece_no"], x["start_token"], x["n_tokens"]) for x in got if x["doc_id"] == 502)
     assert [p for p, _, _ in long] == list(range(len(long))) and all(s == 256 * p for p, s, _ in long) and len(long) > 1
