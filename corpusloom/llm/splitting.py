@@ -1,15 +1,16 @@
 """Oversized items cut into pieces at natural boundaries.
 
-Balanced targets: from the fewest pieces that could do, equal-length targets
-are placed and each is snapped to the strongest boundary near it (paragraph,
-then sentence, then word); when a piece breaks the limit or a target finds no
-boundary of the level the item allows, pieces are added.
+Balanced targets: the fewest pieces that can keep the limit are found by going
+through the boundaries from the end, equal-length targets are placed for that
+number, and each is snapped to the strongest boundary near it (paragraph, then
+sentence, then word) from which the rest still fits. Pieces are planned with
+room for the overlap with the piece before.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,87 +25,98 @@ BLANK = re.compile(r"(?>\r\n|\n|\r)[^\S\r\n]*(?>\r\n|\n|\r)\s*")
 SENTENCE = re.compile(rf"[{re.escape(FINAL)}][{re.escape(FINAL + CLOSERS)}]*\s+|[{WIDE}][{re.escape(FINAL + CLOSERS)}]*")
 SPACE = re.compile(r"\s+")
 LEVELS = ("paragraph", "sentence", "word", "none")
+#: Items cut at once; bounds the memory of their pieces.
+ITEMS = 256
 
 
-def boundaries(text: str) -> list[list[int]]:
-    """Places after which a new paragraph, sentence and word may begin; each level holds those of the stronger ones."""
-    inside = (0, len(text))
-    paragraph = {m.end() for m in BLANK.finditer(text)}
-    sentence = paragraph | {m.end() for m in SENTENCE.finditer(text)}
-    word = sentence | {m.end() for m in SPACE.finditer(text)}
-    return [sorted(x.difference(inside)) for x in (paragraph, sentence, word)]
+class Cuts:
+    """Places where a text may be cut at boundaries of one kind and the stronger ones.
 
+    A boundary is the white space between two stretches, from ``begin`` to
+    ``end``, and may be cut anywhere in it; pieces begin at ``end`` where they can.
+    """
 
-def longest(text: str, cuts: list[int]) -> int:
-    """Length of the longest stretch between cuts, white space at its ends left out."""
-    edges = [0, *cuts, len(text)]
-    return max(len(text[a:b].strip()) for a, b in zip(edges, edges[1:]))
+    def __init__(self, text: str, ends: set[int]) -> None:
+        self.end = sorted((ends | {len(text) - len(text.lstrip())}).difference((0, len(text))))
+        self.begin = []
+        for e in self.end:
+            while e and text[e - 1].isspace():
+                e -= 1
+            self.begin.append(e)
+        self.tail = len(text.rstrip())
 
+    def first(self, low: int) -> int:
+        """The first place to cut at or after ``low``, white space at the text's end included."""
+        at = bisect_left(self.end, low)
+        return max(low, self.begin[at] if at < len(self.end) else self.tail)
 
-def item_level(text: str, levels: list[list[int]], limit: int) -> int:
-    return next((k for k, cuts in enumerate(levels) if longest(text, cuts) <= limit), 3)
+    def near(self, target: int, low: int, high: int) -> int | None:
+        """The end of a boundary nearest to ``target`` between ``low`` and ``high``."""
+        at = bisect_left(self.end, target)
+        return min((e for e in self.end[max(at - 1, 0) : at + 1] if low <= e <= high), key=lambda e: abs(e - target), default=None)
 
 
-def _snapped(n: int, m: int, levels: list[list[int]], allowed: int, limit: int) -> list[int] | None:
-    """Cuts near the m - 1 targets, or None if a limit fails."""
-    cuts, last, reach = [], 0, n // m // 2
-    for k in range(1, m):
-        target = n * k // m
-        low, high = max(last + 1, target - reach), min(last + limit, target + reach, n - 1)
-        best = None
-        for cand in levels[: allowed + 1]:
-            at = bisect_left(cand, target)
-            near = [c for c in cand[max(at - 1, 0) : at + 1] if low <= c <= high]
-            if not near and bisect_left(cand, low) < bisect_right(cand, high):
-                near = [cand[bisect_right(cand, high) - 1]]
-            if near:
-                best = min(near, key=lambda c: abs(c - target))
-                break
-        if best is None:
-            if allowed < 3 or low > high:
-                return None
-            best = min(max(target, low), high)
-        cuts.append(best)
-        last = best
-    return cuts if n - last <= limit else None
-
-
-def _furthest(n: int, levels: list[list[int]], limit: int) -> list[int]:
-    """The furthest boundary each time, the strongest kind within reach: at the item's own level but for white space over the limit."""
-    cuts, last = [], 0
-    while n - last > limit:
-        best = next((c[i - 1] for c in levels if (i := bisect_right(c, last + limit)) and c[i - 1] > last), last + limit)
-        cuts.append(best)
-        last = best
-    return cuts
+def boundaries(text: str) -> Iterator[Cuts]:
+    """Places to cut between paragraphs, sentences and words, each kind with those of the stronger ones."""
+    ends: set[int] = set()
+    for mark in (BLANK, SENTENCE, SPACE):
+        ends |= {m.end() for m in mark.finditer(text)}
+        yield Cuts(text, ends)
+
+
+def latest(cuts: Cuts | None, n: int, limit: int, overlap: int) -> list[int] | None:
+    """For each number of pieces from 0 the earliest place from which so many can hold the rest, down to what one first piece holds.
+
+    Pieces but the first leave room for the overlap where a boundary allows
+    it. None if a stretch between boundaries exceeds the limit; without cuts
+    the text is cut anywhere.
+    """
+    need, room = [n], limit - overlap if overlap < limit else 1
+    while need[-1] > limit:
+        last = need[-1]
+        at = next((c for size in (room, limit) if (c := cuts.first(last - size)) < last), None) if cuts else last - room
+        if at is None:
+            return None
+        need.append(at)
+    return need
 
 
 def split_text(text: str, limit: int = 2000, overlap: int = 200) -> tuple[str, list[tuple[int, int]]]:
-    """The level at which a text can be cut, and the bounds of its pieces.
+    """The kind of boundary a text is cut at, and the bounds of its pieces.
 
     Without overlap the pieces are the text; each but the first begins up to
     ``overlap`` characters before the end of the one before, at a word where
-    there is one, less where the limit leaves no room.
+    there is one, less where a stretch without boundary leaves no room.
     """
-    n = len(text)
+    n, kinds, level = len(text), [], 3
     if n <= limit:
         return "whole", [(0, n)]
-    levels = boundaries(text)
-    allowed = item_level(text, levels, limit)
-    fewest = 1 + -(-(n - limit) // max(limit - overlap, 1))
-    m, cuts = fewest, None
-    while m <= 3 * fewest and (cuts := _snapped(n, m, levels, allowed, limit)) is None:
-        m += max(1, m // 8)
-    if cuts is None:
-        cuts = _furthest(n, levels, limit)
-    edges, words, pieces = [0, *cuts, n], levels[2], []
-    for k, (a, b) in enumerate(zip(edges, edges[1:])):
+    need = None
+    for k, cuts in enumerate(boundaries(text)):
+        kinds.append(cuts)
+        if need is None and (need := latest(cuts, n, limit, overlap)) is not None:
+            level = k
+    need = need or latest(None, n, limit, overlap)
+    m, edges = len(need), [0]
+    for k in range(1, m):
+        target, reach, low = n * k // m, n // m // 2, max(need[m - k], edges[-1] + 1)
+        # the last piece that fits with its overlap, or the only one that fits at all
+        high = max(low, edges[-1] + (limit if k == 1 else max(limit - overlap, 1)))
+        near = (c.near(min(max(target, low), high), max(low, target - reach), min(high, target + reach)) for c in kinds[: level + 1])
+        spot = next((c for c in near if c is not None), None)
+        if spot is None:
+            spot = next((c for x in kinds[: level + 1] if (c := x.near(min(max(target, low), high), low, high)) is not None), None)
+        if spot is None:
+            spot = low if level < 3 else min(max(target, low), high)
+        edges.append(spot)
+    pieces, words = [(0, (edges + [n])[1])], kinds[2].end
+    for a, b in zip(edges[1:], [*edges[2:], n]):
         start = a
-        if k and (room := min(overlap, limit - (b - a))) > 0:
+        if (room := min(overlap, limit - (b - a))) > 0:
             at = bisect_left(words, a - room)
             start = words[at] if at < len(words) and words[at] < a else max(a - room, 0)
         pieces.append((start, b))
-    return LEVELS[allowed], pieces
+    return LEVELS[level], pieces
 
 
 SHAPE = "piece_no int, start_char int, end_char int, n_pieces int, cut_at string, piece string"
@@ -118,7 +130,8 @@ def split_items(items: DataFrame, *, keys: list[str], text: str, limit: int = 20
     or ``none``: the strongest kind of boundary that alone keeps every stretch
     within the limit) and the ``piece``.
 
-    Defined cases: null, empty and short items give no rows; repeated rows
+    Defined cases: an overlap not below the limit leaves one new character a
+    piece at least; null, empty and short items give no rows; repeated rows
     give their pieces again; empty tables give none; columns other than the
     keys are ignored. Items are filtered before Python sees them.
     """
@@ -128,12 +141,16 @@ def split_items(items: DataFrame, *, keys: list[str], text: str, limit: int = 20
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                t = batch.column(len(names))[i].as_py()
-                level, pieces = split_text(t, limit, overlap)
-                k = len(pieces)
-                own = [pa.repeat(batch.column(j)[i], k) for j in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(range(k), pa.int32()), pa.array([a for a, _ in pieces], pa.int32()), pa.array([b for _, b in pieces], pa.int32()), pa.repeat(pa.scalar(k, pa.int32()), k), pa.repeat(pa.scalar(level), k), pa.array([t[a:b] for a, b in pieces])], names=[*names, "piece_no", "start_char", "end_char", "n_pieces", "cut_at", "piece"])
+            for a in range(0, batch.num_rows, ITEMS):
+                part = batch.slice(a, ITEMS)
+                rows = []
+                for i, t in enumerate(part.column(len(names)).to_pylist()):
+                    level, pieces = split_text(t, limit, overlap)
+                    rows += [(i, j, x, y, len(pieces), level, t[x:y]) for j, (x, y) in enumerate(pieces)]
+                who, *cols = zip(*rows)
+                own = [part.column(j).take(pa.array(who, pa.int64())) for j in range(len(names))]
+                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, cols, kinds)], names=[*names, "piece_no", "start_char", "end_char", "n_pieces", "cut_at", "piece"])
 
     done = src.mapInArrow(cut, f"{types}, {SHAPE}")
     return done.select(*[F.col(n).alias(k) for n, k in zip(names, keys)], *[c.split()[0] for c in SHAPE.split(", ")])

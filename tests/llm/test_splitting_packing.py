@@ -21,8 +21,37 @@ def test_pieces(text, limit, overlap):
     assert all(0 < b - a <= limit or not text for a, b in pieces)
     assert (level == "whole") == (len(text) <= limit)
     if level not in ("whole", "none"):
-        anywhere = set(sp.boundaries(text)[2])  # white space at the end of a stretch may not fit beside it
-        assert all(b in anywhere or text[b].isspace() for _, b in pieces[:-1])
+        anywhere = set(list(sp.boundaries(text))[2].end)  # white space at the end of a stretch may not fit beside it
+        assert all(b in anywhere or text[b].isspace() or text[b - 1].isspace() for _, b in pieces[:-1])
+
+
+def stretches(text, level):
+    mark = (sp.BLANK, sp.SENTENCE, sp.SPACE)
+    ends = sorted({m.end() for k in range(level + 1) for m in mark[k].finditer(text)} | {0, len(text)})
+    return max((len(text[a:b].strip()) for a, b in zip(ends, ends[1:])), default=0)
+
+
+@given(TEXT, st.integers(5, 60), st.integers(0, 4))
+@settings(deadline=None, max_examples=300)
+def test_level_is_the_strongest_that_keeps_the_limit(text, limit, overlap):
+    if len(text) > limit:
+        want = next((k for k in range(3) if stretches(text, k) <= limit), 3)
+        assert sp.split_text(text, limit, overlap)[0] == sp.LEVELS[want]
+
+
+@given(st.lists(st.integers(1, 30), min_size=20, max_size=80), st.integers(40, 60))
+@settings(deadline=None, max_examples=200)
+def test_fewest_pieces_with_room_for_the_overlap(words, limit):
+    text, overlap = " ".join("x" * n for n in words), 8
+    level, pieces = sp.split_text(text, limit, overlap)
+    if level == "whole":
+        return
+    assert level == "word"
+    ends, reached, k = [m.end() for m in sp.SPACE.finditer(text)] + [len(text)], 0, 0
+    while reached < len(text):  # the furthest cut each time needs the fewest
+        reached, k = max(e for e in ends + [m.start() for m in sp.SPACE.finditer(text)] + [reached] if e <= reached + limit - (overlap if k else 0)), k + 1
+    assert len(pieces) == k
+    assert all(c < b for (_, b), (c, _) in zip(pieces, pieces[1:]))  # every piece repeats something
 
 
 def test_levels():
