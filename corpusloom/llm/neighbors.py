@@ -1,19 +1,24 @@
 """The most similar vectors of every vector.
 
 A forest of random-projection trees is searched through one shared priority
-queue, and the leaves it yields are reranked exactly. The forest has two
-storeys. A routing tree, fitted on a bounded sample, cuts the collection into
-blocks of about ``block_rows`` rows that fit in one task; every row lies in one
-block and asks the blocks at the top of the queue of that tree. Inside a block
-``trees`` trees are grown over all its rows (each split along the line between
-two centroids, at the median), and every query visits leaves of all trees in
-the order of one queue, keyed by the margins crossed on the way, until a share
-``reach`` of the block, and no less than 100 k rows, has been offered. Queries take the queue in bulk: the
-order in which a queue pops leaves is the order of their keys.
-
-Rows of equal direction are searched once, by their lowest id, so a vector
-repeated by a third of the rows costs one row. Vectors travel as 32-bit floats:
-one copy of the collection and one per further block a query asks.
+queue, and the leaves it yields are reranked exactly. All trees share their
+upper levels, which cut the collection into blocks of about ``block_rows`` rows
+that fit in one task; below, every block has ``trees`` trees of its own. The
+trees are fitted on a bounded sample (each node splits along the line between
+two centroids, at the median), so the queue of a query, keyed by the margins
+crossed on the way, is known wherever the query is: its leaves of all blocks
+and trees compete, and it is sent only to blocks that hold leaves at the top,
+``asks`` at most, with the list of those leaves. A query is offered a share
+``reach`` of all rows, no less than ``offers`` rows, and no more than half of
+the rows of ``asks`` blocks: beyond some ``asks / 2 / reach`` blocks the work
+and the copies of a vector are the same however large the collection is. Below
+``offers / reach`` rows the search is nearly a scan. Queries take the queue in
+bulk: the order in which a queue pops leaves is the order of their keys.
+
+A block much asked for is dealt to several tasks, each with all its rows and a
+part of its queries. Rows of equal direction are searched once, by their lowest
+id, so a vector repeated by a third of the rows costs one row. Vectors travel
+as 32-bit floats: one copy to the block they lie in and one to each other block asked.
 """
 
 from __future__ import annotations
@@ -72,7 +77,7 @@ def split_line(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, flo
 
 
 class Tree:
-    """A balanced random-projection tree as arrays: node k has children 2k+1 and 2k+2."""
+    """A random-projection tree fitted on a sample, as arrays: node k has children 2k+1 and 2k+2."""
 
     def __init__(self, x: np.ndarray, depth: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
@@ -85,13 +90,11 @@ class Tree:
             if len(own) > 1:
                 self.lines[node], self.at[node] = split_line(x[own], rng)
                 side = x[own] @ self.lines[node] > self.at[node]
-                if side.all() or not side.any():
-                    side = np.arange(len(own)) % 2 == 1
-            else:
+            else:  # no row of the sample tells how to split: any line will do
+                self.lines[node] = rng.normal(size=x.shape[1]) / math.sqrt(x.shape[1])
                 side = np.zeros(len(own), bool)
             parts += [own[~side], own[side]]
             parts[node] = own[:0]
-        self.leaves = parts[2**depth - 1 :]
 
     def keys(self, q: np.ndarray) -> np.ndarray:
         """Queue key of every leaf for every query: the squared margins crossed on the way to it."""
@@ -102,31 +105,63 @@ class Tree:
             key = np.stack([key + np.maximum(m, 0) ** 2, key + np.maximum(-m, 0) ** 2], 2).reshape(len(q), -1)
         return key
 
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """The leaf each row lies in."""
+        node = np.zeros(len(x), np.int64)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (np.einsum("ij,ij->i", x, self.lines[node]) > self.at[node])
+        return node - (2**self.depth - 1)
+
 
 class Forest:
-    """Trees over the rows of one block, searched together."""
-
-    def __init__(self, x: np.ndarray, trees: int, leaf_rows: int, seed: int) -> None:
-        depth = max(0, round(math.log2(max(len(x), 1) / leaf_rows)))
-        self.x = x
-        self.trees = [Tree(x, depth, seed + t) for t in range(trees)]
-
-    def search(self, q: np.ndarray, k: int, reach: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the best ``k`` rows offered to each query (place -1: fewer); ``own`` is left out."""
-        n_leaves = len(self.trees[0].leaves)
-        visits = math.ceil(max(reach * n_leaves, 100 * k * n_leaves / max(len(self.x), 1)))
-        key = np.concatenate([t.keys(q) for t in self.trees], 1)
-        leaves = [leaf for t in self.trees for leaf in t.leaves]
-        if n_leaves * 2 <= visits or n_leaves == 1:  # one tree offers every row
-            key, leaves = key[:, :n_leaves], leaves[:n_leaves]
-        if visits < len(leaves):
-            popped = np.zeros(key.shape, bool)
+    """A router that cuts the collection into blocks, and trees inside each."""
+
+    def __init__(self, sample: np.ndarray, blocks: int, leaves: int, trees: int, seed: int) -> None:
+        self.blocks, self.leaves, self.n_trees = blocks, leaves, trees
+        self.router = Tree(sample, int(math.log2(blocks)), seed)
+        home = self.router.leaf(sample)
+        self.trees = [[Tree(sample[home == b], int(math.log2(leaves)), seed + 1 + t) for t in range(trees)] for b in range(blocks)]
+
+    def queue(self, q: np.ndarray, asks: int, visits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks asked by each query, and which leaves of their trees are among its first ``visits``."""
+        near = self.router.keys(q)
+        block = np.argpartition(near, asks - 1, axis=1)[:, :asks] if asks < self.blocks else np.broadcast_to(np.arange(asks), near.shape)
+        width = self.n_trees * self.leaves
+        key = np.empty((len(q), asks, width), np.float32)
+        for b in np.unique(block):
+            who, slot = np.nonzero(block == b)
+            key[who, slot] = near[who, b, None] + np.concatenate([t.keys(q[who]) for t in self.trees[b]], 1)
+        key = key.reshape(len(q), -1)
+        popped = np.zeros(key.shape, bool)
+        if visits < key.shape[1]:
             np.put_along_axis(popped, np.argpartition(key, visits - 1, axis=1)[:, :visits], True, axis=1)
         else:
-            popped = np.ones(key.shape, bool)
+            popped[:] = True
+        return block, popped.reshape(len(q), asks, width)
+
+
+def queues(forest: Forest, x: np.ndarray, asks: int, visits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks and leaves asked by the queries, some queries at a time."""
+    step = max(64, (1 << 24) // (asks * forest.n_trees * forest.leaves))
+    for a in range(0, len(x), step):
+        yield forest.queue(x[a : a + step], asks, visits)
+
+
+class Block:
+    """The rows of one block in the leaves of its trees."""
+
+    def __init__(self, x: np.ndarray, trees: list[Tree]) -> None:
+        self.x, self.leaves = x, []
+        for t in trees:
+            leaf = t.leaf(x)
+            order = np.argsort(leaf, kind="stable")
+            self.leaves += np.split(order, np.searchsorted(leaf[order], np.arange(1, 2**t.depth)))
+
+    def search(self, q: np.ndarray, popped: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the best ``k`` rows of the leaves popped for each query (place -1: fewer); ``own`` is left out."""
         best = np.full((len(q), k), -2.0, np.float32)
         place = np.full((len(q), k), -1, np.int64)
-        for leaf, rows in enumerate(leaves):
+        for leaf, rows in enumerate(self.leaves):
             who = np.flatnonzero(popped[:, leaf])
             if not len(who) or not len(rows):
                 continue
@@ -176,17 +211,22 @@ def nearest_vectors(
     k: int = 10,
     block_rows: int = 32_768,
     trees: int = 2,
-    leaf_rows: int = 192,
-    reach: float = 0.22,
-    sample_rows: int = 20_000,
+    leaf_rows: int = 128,
+    reach: float = 0.2,
+    offers: int = 1000,
+    asks: int = 32,
+    sample_rows: int = 65_536,
+    query_rows: int = 262_144,
     least: float | None = None,
 ) -> DataFrame:
     """The ``k`` most similar rows of every usable row: ``(field_name, id, neighbor, cosine, rank)``.
 
     Each field is searched by itself; usable vectors have ``dimension`` finite
-    components, not all zero. Order is by cosine, then id. The routing tree is
-    fitted on at most about ``sample_rows`` rows a field, chosen by a hash of
-    the id; every usable row is indexed. ``least`` keeps only neighbours of at
+    components, not all zero. Order is by cosine, then id. The trees are fitted on
+    4,096 rows a field or 8 a leaf, about ``sample_rows`` at most, chosen by a
+    hash of the id (leaves grow where it allows no more of them); every usable
+    row is indexed. A task answers
+    about ``query_rows`` queries of a block. ``least`` keeps only neighbours of at
     least that cosine, ranks being those of the whole result.
 
     Defined cases: null, empty, short, long, zero and non-finite vectors give no
@@ -224,87 +264,110 @@ def nearest_vectors(
     others = members.where("id <> rep")
     index = units.join(small_side(others.select("f", "id")), ["f", "id"], "left_anti")
 
-    router = None
-    if blocks > 1:
-        share = min(1.0, sample_rows / max(total, 1))
-        picked = units.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("f", "x").toArrow()
-        side = np.asarray(picked.column("f").combine_chunks())
-        seen = np.frombuffer(b"".join(picked.column("x").to_pylist()), np.float32).reshape(-1, dimension)
-        router = spark.sparkContext.broadcast([Tree(seen[side == f], int(math.log2(blocks)), 7 + f) for f in range(n_fields)])
-    asks = min(blocks, math.ceil(blocks**0.7))
+    most = 2 ** int(math.log2(max(2, sample_rows // 8)))  # leaves a sample can tell apart
+    leaves = max(1, min(most, 2 ** max(0, round(math.log2(max(total, 1) / leaf_rows)))) // blocks)
+    asks = min(asks, blocks)
+    visits = math.ceil(max(reach * blocks * leaves, offers * blocks * leaves / max(total, 1)))
+    if asks < blocks:
+        visits = max(1, min(visits, asks * leaves // 2))
+    elif visits >= blocks * leaves:  # every row is offered: one tree does that
+        visits, trees = blocks * leaves, 1
+    share = min(1.0, min(sample_rows, max(4096, 8 * blocks * leaves)) / max(total, 1))
+    picked = units.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("f", "x").toArrow()
+    side = np.asarray(picked.column("f").combine_chunks())
+    seen = np.frombuffer(b"".join(picked.column("x").to_pylist()), np.float32).reshape(-1, dimension)
+    forests = [Forest(seen[side == f], blocks, leaves, trees, 7 + 100 * f) for f in range(n_fields)]
+    # tasks of each block, from the queries of the sample
+    loads = [np.bincount(np.concatenate([b[p.any(2)] for b, p in queues(forests[f], seen[side == f], asks, visits)] or [np.zeros(0, np.int64)]), minlength=blocks) / max(share, 1e-9) for f in range(n_fields)]
+    deal = np.concatenate([np.maximum(1, np.ceil(x / query_rows)).astype(np.int64) for x in loads])
+    parts, width = int(deal.sum()), -(-trees * leaves // 8)
+    sent = spark.sparkContext.broadcast((forests, deal, np.concatenate([[0], np.cumsum(deal)]), np.repeat(np.arange(len(deal)), deal)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows for every task: role 0 to be found, 1 also to ask, 2 only to ask; with the leaves asked for."""
+        forests, deal, first, _ = sent.value
         for batch in batches:
             side, x = np.asarray(batch.column("f")), binary_rows(batch.column("x"), dimension)
-            home, ask_at, ask_block = np.zeros(len(side), np.int64), [], []
             for f in range(n_fields):
                 mine = np.flatnonzero(side == f)
-                if router is not None and len(mine):
-                    order = np.argsort(router.value[f].keys(x[mine]), axis=1, kind="stable")[:, :asks]
-                    home[mine] = order[:, 0]
-                    ask_at.append(np.repeat(mine, asks - 1))
-                    ask_block.append(order[:, 1:].ravel())
-            at = np.concatenate([np.arange(len(side)), *ask_at])
-            block = np.concatenate([home, *ask_block])
-            role = np.concatenate([np.zeros(len(side), np.int32), np.ones(len(at) - len(side), np.int32)])
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([pa.array((block * n_fields + side[at]).astype(np.int32)), pa.array(role), batch.column("id").take(take), batch.column("x").take(take)], names=["block", "role", "id", "x"])
-
-    placed = index.select("f", "id", "x").mapInArrow(route, f"block int, role int, id {kind.simpleString()}, x binary")
-    sorted_rows = placed.repartitionById(blocks * n_fields, F.col("block")).sortWithinPartitions("block", "role", "id")
+                done = 0
+                for block, popped in queues(forests[f], x[mine], asks, visits):
+                    own = mine[done : done + len(block)]
+                    done += len(block)
+                    turn = (direction_keys(x[own])[:, 0] % np.uint64(65_521)).astype(np.int64)  # alike if the task runs again
+                    home = forests[f].router.leaf(x[own])
+                    bits = np.packbits(popped, axis=2)
+                    at, slot = np.nonzero(popped.any(2))
+                    place = block[at, slot] + f * blocks
+                    there = block[at, slot] == home[at]
+                    task = first[place] + turn[at] % deal[place]
+                    # asked at home: there the row lies already
+                    nth = np.repeat(np.arange(len(own)), deal[home + f * blocks])
+                    copy = np.arange(len(nth)) - np.searchsorted(nth, nth)
+                    lies = first[home[nth] + f * blocks] + copy
+                    asked = np.full(len(own), -1)
+                    asked[at[there]] = np.flatnonzero(there)
+                    also = (asked[nth] >= 0) & (lies == task[asked[nth]])
+                    masks = np.concatenate([np.where(also[:, None], bits[at, slot][asked[nth]], 0), bits[at, slot][~there]])
+                    rows = pa.array(np.concatenate([own[nth], own[at[~there]]]))
+                    role = np.concatenate([also.astype(np.int32), np.full((~there).sum(), 2, np.int32)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([lies, task[~there]]).astype(np.int32)), pa.array(role), batch.column("id").take(rows), batch.column("x").take(rows), rows_binary(masks)], names=["part", "role", "id", "x", "leaves"])
+
+    placed = index.select("f", "id", "x").mapInArrow(route, f"part int, role int, id {kind.simpleString()}, x binary, leaves binary")
+    sorted_rows = placed.repartitionById(parts, F.col("part")).withColumn("asks", (F.col("role") == 2).cast("int")).sortWithinPartitions("part", "asks", "id").drop("asks")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, rows, forest = None, [], [], None
+        forests, _, _, blocks_of = sent.value
+        part, field, kept, found_in, all_ids, last = None, 0, [], None, None, None
 
-        def asked(q: np.ndarray, q_ids: pa.Array, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def asked(q: np.ndarray, q_ids: pa.Array, leaves: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(q), 4 * PART):
-                place, best = forest.search(q[a : a + 4 * PART], k, reach, own[a : a + 4 * PART])
+                popped = np.unpackbits(leaves[a : a + 4 * PART], axis=1).astype(bool)
+                place, best = found_in.search(q[a : a + 4 * PART], popped, k, own[a : a + 4 * PART])
                 n = (place >= 0).sum(1)
                 ends = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                found = pa.ListArray.from_arrays(ends, all_ids.take(pa.array(place[place >= 0])))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block % n_fields, np.int32)), q_ids.slice(a, len(place)), found, pa.ListArray.from_arrays(ends, pa.array(best[place >= 0]))], names=["f", "id", "near", "cos"])
+                near = pa.ListArray.from_arrays(ends, all_ids.take(pa.array(place[place >= 0])))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), field, np.int32)), q_ids.slice(a, len(place)), near, pa.ListArray.from_arrays(ends, pa.array(best[place >= 0]))], names=["f", "id", "near", "cos"])
 
         def grow() -> Iterator[pa.RecordBatch]:
-            nonlocal forest, all_ids
-            x, all_ids = np.concatenate(rows), pa.concat_arrays(ids)
-            once = changes(all_ids)
-            x, all_ids = x[once], all_ids.filter(pa.array(once))
-            forest = Forest(x, trees, leaf_rows, 11)
-            yield from asked(x, all_ids, np.arange(len(x)))
-
-        all_ids, last = None, None
+            nonlocal found_in, all_ids
+            ids, x, role, leaves = (pa.concat_arrays([r[0] for r in kept]), *(np.concatenate([r[c] for r in kept]) for c in (1, 2, 3)))
+            once = changes(ids)  # whole rows repeated
+            x, all_ids, role, leaves = x[once], ids.filter(pa.array(once)), role[once], leaves[once]
+            found_in = Block(x, forests[field].trees[blocks_of[part] % blocks])
+            ask = np.flatnonzero(role == 1)
+            yield from asked(x[ask], all_ids.take(pa.array(ask)), leaves[ask], ask)
+
         for batch in batches:
-            blk, role = np.asarray(batch.column("block")), np.asarray(batch.column("role"))
-            cuts = np.flatnonzero((np.diff(blk, prepend=-1) != 0) | (np.diff(role, prepend=-1) != 0))
-            for a, b in zip(cuts, [*cuts[1:], len(blk)]):
-                if block != blk[a]:
-                    if rows and forest is None:
+            to, role = np.asarray(batch.column("part")), np.asarray(batch.column("role"))
+            cuts = np.flatnonzero((np.diff(to, prepend=-1) != 0) | (np.diff(role // 2, prepend=-1) != 0))
+            for a, b in zip(cuts, [*cuts[1:], len(to)]):
+                if part != to[a]:
+                    if kept and found_in is None:
                         yield from grow()
-                    block, ids, rows, forest, last = int(blk[a]), [], [], None, None
-                part = batch.slice(a, b - a)
-                x = binary_rows(part.column("x"), dimension)
-                if role[a] == 0:
-                    ids.append(part.column("id"))
-                    rows.append(x)
+                    part, field, kept, found_in, last = int(to[a]), int(blocks_of[to[a]]) // blocks, [], None, None
+                piece = batch.slice(a, b - a)
+                x, leaves = binary_rows(piece.column("x"), dimension), binary_rows(piece.column("leaves"), width, np.uint8)
+                if role[a] < 2:
+                    kept.append((piece.column("id"), x, role[a:b], leaves))
                     continue
-                if rows and forest is None:
+                if kept and found_in is None:
                     yield from grow()
-                once = changes(part.column("id"))
-                once[0] &= part.column("id")[0].as_py() != last
-                last = part.column("id")[-1].as_py()
-                part, x = part.filter(pa.array(once)), x[once]
-                if forest is not None and len(x):
-                    yield from asked(x, part.column("id"), np.full(len(x), -1))
-        if rows and forest is None:
+                once = changes(piece.column("id"))
+                once[0] &= piece.column("id")[0].as_py() != last
+                last = piece.column("id")[-1].as_py()
+                if found_in is not None and once.any():
+                    yield from asked(x[once], piece.column("id").filter(pa.array(once)), leaves[once], np.full(once.sum(), -1))
+        if kept and found_in is None:
             yield from grow()
 
     lists = sorted_rows.mapInArrow(search, f"f int, id {kind.simpleString()}, near array<{kind.simpleString()}>, cos array<float>")
     pairs = lists.select("f", "id", F.explode(F.arrays_zip("near", "cos")).alias("z")).select("f", "id", F.col("z.near").alias("near"), F.col("z.cos").alias("cos"))
+    if least is not None:
+        pairs = pairs.where(F.col("cos") >= least)
     if asks > 1 and least is None:
         rank = F.row_number().over(Window.partitionBy("f", "id").orderBy(F.desc("cos"), "near"))
         pairs = pairs.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    if least is not None:
-        pairs = pairs.where(F.col("cos") >= least)
 
     # representatives stand for their class: at most k + 1 members of a class can be in one answer
     few = members.withColumn("n", F.row_number().over(Window.partitionBy("f", "rep").orderBy("id"))).where(F.col("n") <= k + 1).select("f", F.col("rep").alias("near"), F.col("id").alias("member"))
@@ -336,15 +399,15 @@ def changes(ids: pa.Array) -> np.ndarray:
 
 
 def rows_binary(x: np.ndarray) -> pa.Array:
-    width = x.shape[1] * 4
+    width = x.shape[1] * x.itemsize
     ends = np.arange(len(x) + 1, dtype=np.int32) * width
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(x).tobytes())])
 
 
-def binary_rows(column: pa.Array, dimension: int) -> np.ndarray:
-    """The vectors of a column of equally long byte strings."""
+def binary_rows(column: pa.Array, width: int, kind: type = np.float32) -> np.ndarray:
+    """The ``width`` values of each row of a column of equally long byte strings."""
     if not len(column):
-        return np.zeros((0, dimension), np.float32)
-    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
-    ends = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(np.float32).reshape(-1, dimension)
+        return np.zeros((0, width), kind)
+    size = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(column.buffers()[1], size)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind).reshape(-1, width)

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -68,12 +70,45 @@ def test_few_rows(spark):
     assert nb.nearest_vectors(df.where("mv_id in (7, 8, 60)"), **args).count() == 2
 
 
-def test_queue_order_and_balance():
+@pytest.mark.parametrize("blocks", [8, 32, 64])
+def test_recall_over_many_blocks(spark, blocks):
+    """The share ``reach`` of all rows binds, not the least number of rows offered."""
+    path = Path("/root/testdata/sf0.1/multi_vectors.parquet")
+    if not path.exists():
+        pytest.skip("test tables are not here")
+    df = spark.read.parquet(str(path))
+    near = nb.nearest_vectors(df, id_col="mv_id", fields=["raw_text"], dimension=96, block_rows=-(-df.count() // blocks), leaf_rows=8, offers=0)
+    got: dict = {}
+    for x in near.where("id % 20 = 0").collect():
+        got.setdefault(x["id"], []).append(x["cosine"])
+    table = df.dropDuplicates(["mv_id"]).select("mv_id", "raw_text").toArrow()
+    at, x = nb.usable(table.column("raw_text"), 96)
+    ids = np.asarray(table.column("mv_id"))[at]
+    hits = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[i]
+        score[i] = -2
+        tenth = np.sort(score)[-10]
+        hits += sum(c >= tenth - 1e-5 for c in got[int(ids[i])])
+    assert hits >= 0.9 * 10 * (ids % 20 == 0).sum()
+
+
+@pytest.mark.parametrize("query_rows", [30, 1000])
+def test_blocks_dealt_out_give_the_same(spark, query_rows):
+    df = spark.createDataFrame(rows(), SHAPE)
+    args = dict(id_col="mv_id", fields=["raw_text"], dimension=16, block_rows=64, leaf_rows=8)
+    some = sorted(map(tuple, nb.nearest_vectors(df, query_rows=query_rows, **args).select("id", "neighbor", "rank").collect()))
+    assert some == sorted(map(tuple, nb.nearest_vectors(df, **args).select("id", "neighbor", "rank").collect()))
+
+
+def test_queue_order():
     r = np.random.default_rng(1)
     x = r.normal(size=(512, 8)).astype(np.float32)
     t = nb.Tree(x, 4, 5)
-    assert sorted(np.concatenate(t.leaves).tolist()) == list(range(512)) and {len(v) for v in t.leaves} <= set(range(28, 37))
-    home = t.keys(x).argmin(1)
-    assert all(i in set(t.leaves[home[i]].tolist()) for i in range(0, 512, 37))
+    home = t.leaf(x)
+    assert (t.keys(x).argmin(1) == home).all() and {int(n) for n in np.bincount(home)} <= set(range(28, 37))
+    forest = nb.Forest(x, 4, 8, 2, 3)
+    block, popped = forest.queue(x[:50], 2, 6)
+    assert (popped.sum((1, 2)) == 6).all() and (block == forest.router.leaf(x[:50])[:, None]).any(1).all()
     same = np.ones((100, 8), np.float32)
-    assert sum(map(len, nb.Tree(same, 3, 5).leaves)) == 100
+    assert nb.Tree(same, 3, 5).leaf(same).max() < 8
