@@ -27,6 +27,7 @@ def p2_units(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
     units = sentences.sentence_units(table(spark, folder, "search_documents", spread=True), key="id", text="text")
     return units.select("id", "start_char", "end_char").distinct()
 

@@ -3,12 +3,17 @@
 Characters are tagged as boundary or inside by a linear-chain model decoded
 with Viterbi. Only places where a unit can end are open to both tags (after a
 final mark and what closes with it, at line breaks, at spaces between Thai
-letters); all others are inside, and a place beyond doubt keeps its tag. Weights are those of an averaged structured
+letters); all others are inside. Weights are those of an averaged structured
 perceptron, trained on a bounded sample of the texts themselves; how words begin,
-end and follow each other is counted over all distinct texts. Where marks
-and letter case leave no doubt they label it, and the same sentences with
-their marks stripped and joined by line breaks teach the model, through how
-often a word begins or ends a sentence, to find boundaries no mark shows.
+end and follow each other is counted over all distinct texts. Where marks,
+letter case or script leave little doubt they label a place for training, and
+what they say is one feature among others: the model decodes every place. The
+same sentences with their marks stripped, joined as their script joins them and
+wrapped inside, teach it through how often a word begins or ends a sentence to
+find boundaries no mark shows.
+
+A paragraph is read once for its words, quotes and white space; what a place
+needs of them is then looked up, so time grows with the length of the text.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,6 +34,9 @@ from corpusloom.session import checkpointed, rows_within
 #: Most counts of words and pairs that are sent to the executors whole, and texts that fetch theirs together.
 COUNTS, GROUP = 200_000, 512
 
+#: Weight of what rules say before training: they hold for what the sample does not show.
+PRIOR = 6.0
+
 # Marks that can end a sentence, the wide ones that need no white space, what opens and closes.
 FINAL = ".!?…。！？।॥؟۔"
 GLUED = "。！？।॥"
@@ -53,7 +62,15 @@ CANDIDATE = re.compile(
     rf"(?P<mark>[{re.escape(FINAL)}]+)(?P<close>(?:[   ]?[»›](?!\w)|[\"'”’“)\]}}」』）】〕》])*)(?P<gap>\s*)|(?P<line>\s*[{BREAK}]\s*)|(?<=[ก-ฺเ-๎])(?P<space>\s+)(?=[ก-ฺเ-๎])"
 )
 WORD = re.compile(r"[^\W_](?:[\w‌̀-ͯऀ-ःऺ-ॏ]|['’\-](?=\w))*")
-LAST = re.compile(r"[\w‌̀-ͯऀ-ःऺ-ॏ'’\-]+$")
+LAST = re.compile(r"[\w‌̀-ͯऀ-ःऺ-ॏ'’\-]+")
+LETTERS = re.compile(r"[^\W\d_]+")
+NAME = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
+FOLLOWS = re.compile(r"[^\W\d_]+(?=[\s,'’]|\.[\s.])")
+DOTTED = re.compile(r"(?<![^\s(])(?:[^\W\d]\.\s?)+[^\W\d]")
+LISTED = re.compile(rf"(?:^|[{BREAK}])\s*\(?(?:\d{{1,3}}|[a-zA-Z])(?=[{re.escape(FINAL)}])")
+SOLID = re.compile(rf"[^{re.escape(FINAL)} \u00a0\u202f]+")
+SPACES = re.compile(r"\s*")
+KERNEL = re.compile(rf"[^{re.escape(FINAL + CLOSERS)} \u00a0]+")
 BULLET = re.compile(r"[-–•*·◦▪‣]\s")
 NUMBER = re.compile(r"\(?(?:\d{1,3}|[०-९]{1,3}|[a-z])[.)]\s")
 
@@ -67,40 +84,105 @@ def script(ch: str) -> str:
     return "cased" if ch.lower() != ch.upper() else "plain"
 
 
-def _first_word(text: str, at: int) -> str:
-    """The word beginning at or after ``at``; of scripts without spaces its first two characters."""
-    m = WORD.search(text, at, at + 60)
-    if not m:
-        return ""
-    w = m.group()
-    return w[:2] if script(w[0]) in ("han", "thai") else w
+class Runs:
+    """Where the matches of a pattern lie in a text, for looking up by position."""
+
+    def __init__(self, pattern: re.Pattern, text: str) -> None:
+        spans = [m.span() for m in pattern.finditer(text)]
+        self.start, self.end = [a for a, _ in spans], [b for _, b in spans]
+
+    def before(self, at: int) -> tuple[int, int] | None:
+        """The part up to ``at`` of the last run that begins before it."""
+        k = bisect_left(self.start, at) - 1
+        return (self.start[k], min(self.end[k], at)) if k >= 0 else None
 
+    def after(self, at: int) -> tuple[int, int] | None:
+        """The part from ``at`` on of the first run that ends after it."""
+        k = bisect_right(self.end, at)
+        return (max(self.start[k], at), self.end[k]) if k < len(self.end) else None
 
-def _last_word(text: str, end: int) -> str:
-    m = LAST.search(text, max(0, end - 40), end)
-    if not m:
-        return ""
-    w = m.group().lstrip("'’-")
-    return w[-2:] if w and script(w[-1]) in ("han", "thai") else w
+
+class Outline:
+    """What the places of a paragraph look up in it, read once."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.words, self.lasts, self.letters, self.names = Runs(WORD, text), Runs(LAST, text), Runs(LETTERS, text), Runs(NAME, text)
+        self.solid, self.ink, self.dotted = Runs(SOLID, text), Runs(re.compile(r"\S+"), text), Runs(DOTTED, text)
+        self.listed = {m.end() for m in LISTED.finditer(text)}
+        self.signs = {x: [m.start() for m in re.finditer(x, text)] for x in "„“\""}
+        spans = quoted(text)
+        self.opened = {b: a for a, b in spans}
+        self.covered: list[list[int]] = []  # merged spans, the opening sign left out
+        for a, b in sorted(spans):
+            if self.covered and a <= self.covered[-1][1]:
+                self.covered[-1][1] = max(self.covered[-1][1], b)
+            else:
+                self.covered.append([a, b])
+
+    def inside(self, end: int) -> bool:
+        k = bisect_left(self.covered, [end]) - 1
+        return k >= 0 and end <= self.covered[k][1]
+
+    def count(self, sign: str, end: int) -> int:
+        return bisect_left(self.signs[sign], end)
+
+    def first_word(self, at: int) -> str:
+        """The word beginning at or after ``at``; of scripts without spaces its first two characters."""
+        if not (run := self.words.after(at)):
+            return ""
+        a, b = run
+        return self.text[a : min(b, a + 2)] if script(self.text[a]) in ("han", "thai") else self.text[a:b]
+
+    def last_word(self, end: int) -> str:
+        """The word ending at ``end``."""
+        run = self.lasts.before(end)
+        if not run or run[1] != end:
+            return ""
+        if script(self.text[end - 1]) in ("han", "thai"):
+            return self.text[max(run[0], end - 2) : end].lstrip("'’-")
+        return self.text[run[0] : end].lstrip("'’-")
+
+    def abbreviation(self, end: int) -> tuple[int, int] | None:
+        """Letters with points between them that end at ``end``."""
+        run = self.dotted.before(end)
+        return run if run and run[1] == end and end - run[0] > 1 and self.text[end - 1].isalpha() else None
+
+    def run_on(self, mark: int, stop: int) -> bool:
+        """Does a capitalized word follow a plain word's point without a space?"""
+        run = self.names.before(mark)
+        if not run or run[1] != mark or (run[0] and not self.text[run[0] - 1].isspace()):
+            return False
+        first = re.split("['’\\-]", self.text[run[0] : mark])[0]
+        return self.text[mark - 1].islower() and mark - run[0] > 2 and bool(first) and bool(FOLLOWS.match(self.text, stop)) and self.text[stop].isupper()
 
 
 def quoted(text: str) -> list[tuple[int, int]]:
     """Spans from opening to closing sign of the matched quotes and brackets of a paragraph."""
-    spans, stack = [], []
+    spans, stack, waiting = [], [], Counter()  # signs that would close something open
+
+    def push(at: int, close: str) -> None:
+        stack.append((at, close))
+        waiting.update(close)
+
+    def pop() -> tuple[int, str]:
+        waiting.subtract(stack[-1][1])
+        return stack.pop()
+
     for m in re.finditer(r"[\"“”„«»‹›()\[\]{}「」『』（）【】〔〕《》]", text):
         ch, at = m.group(), m.start()
         if stack and ch in stack[-1][1]:
-            spans.append((stack.pop()[0], at))
+            spans.append((pop()[0], at))
         elif ch == '"':
             if at == 0 or not text[at - 1].isalnum():
-                stack.append((at, '"'))
+                push(at, '"')
         elif ch in PAIRS:
-            stack.append((at, PAIRS[ch]))
+            push(at, PAIRS[ch])
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if ch in stack[k][1]:
-                    spans.append((stack[k][0], at))
-                    del stack[k:]
+            while waiting[ch] > 0:  # what was opened since is never closed
+                begin, close = pop()
+                if ch in close:
+                    spans.append((begin, at))
                     break
     return spans
 
@@ -117,51 +199,49 @@ class Place:
         self.own = 0  # 1 where the inside pairs were counted from this very place
 
 
-def places(text: str) -> list[Place]:
-    """All places of a paragraph in order, with their features and, where it is beyond doubt, their label."""
-    spans = quoted(text)
-    opened = {b: a for a, b in spans}
+def places(text: str, outline: Outline | None = None) -> list[Place]:
+    """All places of a paragraph in order, with their features and, where rules have one, their label."""
+    o = outline or Outline(text)
     out = []
     for m in CANDIDATE.finditer(text):
         if m.group("mark"):
             gap, close = m.group("gap"), m.group("close")
-            for sign, opens in (("“", text.count("„", 0, m.start()) <= text.count("“", 0, m.start())), ('"', text.count('"', 0, m.start()) % 2 == 0)):
-                if sign in close and opens:  # it belongs to what follows
+            for sign, opens in (("“", o.count("„", m.start()) <= o.count("“", m.start())), ('"', o.count('"', m.start()) % 2 == 0)):
+                if sign in close and opens and m.end("mark") + close.index(sign) not in o.opened:  # it belongs to what follows
                     close, gap = close[: close.index(sign)].rstrip(), ""
             stop = m.end("mark") + len(close)
-            gap = gap or re.match(r"\s*", text[stop : stop + 20]).group()
+            gap = gap or SPACES.match(text, stop).group()
             after = text[stop : stop + 1]
-            if not gap and after and not (m.group("mark")[-1] in GLUED or (close and close[-1] in "”」』）】》") or after in "“„" or (m.group("mark")[-1] in "!?؟" and (script(after) != "cased" or after.isupper())) or _run_on(text, m.start(), stop)):
+            if not gap and after and not (m.group("mark")[-1] in GLUED or (close and close[-1] in "”」』）】》") or after in "“„" or (m.group("mark")[-1] in "!?؟" and (script(after) != "cased" or after.isupper())) or o.run_on(m.start(), stop)):
                 continue
             p = Place(stop, stop + len(gap), m.group("mark"), close.strip(), "line" if re.search(f"[{BREAK}]", gap) else "gap" if gap else "glued")
         else:
             p = Place(m.start(), m.end(), "", "", "line" if m.group("line") else "space")
         if p.end > 0 and p.next < len(text):
-            _describe(text, p, spans, opened)
+            _describe(o, p)
+            if p.label is not None:
+                p.features.insert(0, f"rule{p.label}")
             out.append(p)
     return out
 
 
-def _run_on(text: str, mark: int, stop: int) -> bool:
-    """Does a capitalized word follow a plain word's point without a space?"""
-    before = re.search(r"(?:^|\s)([^\W\d_]+(?:['’\-][^\W\d_]+)*)$", text[max(0, mark - 40) : mark])
-    return bool(before and before[1][-1].islower() and len(before[1]) > 2 and re.match(r"[^\W\d_]+(?=[\s,'’]|\.[\s.])", text[stop : stop + 40]) and text[stop].isupper())
-
-
-def _describe(text: str, p: Place, spans: list[tuple[int, int]], opened: dict[int, int]) -> None:
-    n = p.next
+def _describe(o: Outline, p: Place) -> None:
+    text, n = o.text, p.next
     while n < len(text) and (text[n] in OPENERS or text[n] in DASHES or text[n].isspace()):
         n += 1
     after = text[n] if n < len(text) else ""
     kind = "e" if not after else "U" if after.isupper() or after.istitle() else "l" if after.islower() else "d" if after.isdigit() else {"han": "h", "thai": "t"}.get(script(after), "c") if after.isalpha() else "p"
-    inside = any(a < p.end - 1 < b or (a < p.end <= b) for a, b in spans)
-    body = text[: p.end - len(p.close)].rstrip(FINAL + "   ") if p.mark else text[: p.end]
-    prev = _last_word(text, len(body))
-    first = _first_word(text, p.next)
+    inside = o.inside(p.end)
+    body = p.end  # where the text before the mark ends
+    if p.mark:
+        run = o.solid.before(p.end - len(p.close))
+        body = run[1] if run else 0
+    prev = o.last_word(body)
+    first = o.first_word(p.next)
     bullet = bool(BULLET.match(text, p.next)) and p.kind == "line"
     item = NUMBER.match(text, p.next) if p.kind == "line" else None
     listing = text[item.end() : item.end() + 1] if item else ""
-    number = bool(listing) and not listing.islower() and not listing.isdigit() and _first_word(text, item.end()).casefold() not in MONTHS
+    number = bool(listing) and not listing.islower() and not listing.isdigit() and o.first_word(item.end()).casefold() not in MONTHS
     before = text[p.end - 1] if p.end else ""
     f = p.features
     f += ["bias", f"lex:{prev}>", f"next:{kind}"]
@@ -173,24 +253,26 @@ def _describe(text: str, p: Place, spans: list[tuple[int, int]], opened: dict[in
         m = "…" if p.mark.startswith(("...", "…", "..")) else p.mark[-1]
         quote = ""
         if p.close:
-            start = opened.get(p.end - 1)
-            lead = text[:start].rstrip() if start is not None else ""
-            quote = "?" if start is None else ":" if lead[-1:] in (":", "：") else "^" if not lead or lead[-1] in FINAL + CLOSERS or re.search(f"[{BREAK}]\\s*$", text[:start]) else "m"
+            start = o.opened.get(p.end - 1)
+            run = o.ink.before(start) if start is not None else None
+            lead = text[run[1] - 1] if run else ""
+            quote = "?" if start is None else ":" if lead in (":", "：") and lead else "^" if not lead or lead in FINAL + CLOSERS or re.search(f"[{BREAK}]", text[run[1] : start]) else "m"
             quote += "b" if p.close[-1] in BRACKETS else "q"
         token = re.split("['’]", prev.casefold().rstrip("."))[-1]
-        dotted = re.search(r"(?:^|[\s(])((?:[^\W\d]\.\s?)+[^\W\d])$", body[-12:])
+        dotted = o.abbreviation(body)
         if dotted and m == ".":
-            token = re.sub(r"[\s.]", "", dotted.group(1))
+            token = re.sub(r"[\s.]", "", text[max(dotted[0], body - 24) : body])  # no abbreviation of the lists is longer
             token = "initials" if token.isupper() and kind == "U" else token.casefold()
         initial = len(token) == 1 and token.isalpha() and m == "."
         short = "title" if m == "." and (token in LEADING or token == "initials") else "end" if m == "." and token in ENDING else "tail" if m == "." and (token in TRAILING or dotted) else "one" if initial else "num" if token.isdigit() else "word"
-        listed = m == "." and re.search(rf"(?:^|[{BREAK}])\s*\(?(?:\d{{1,3}}|[a-zA-Z])$", body) is not None
+        listed = m == "." and body in o.listed
         month = m == "." and short == "num" and first.casefold() in MONTHS
         dash = text[p.next] in DASHES and not bullet
-        letter = next((c for c in reversed(body) if c.isalpha()), "")
+        run = o.letters.before(body)
+        letter = text[run[1] - 1] if run else ""
         switched = kind in ("h", "t", "c") and bool(letter) and script(letter) == "cased" and not short.startswith(("title", "tail"))
         f += [f"m:{m}|{quote}|{kind}|{p.kind}", f"m:{m}|{short}|{kind}|{listed}|{month}", f"q:{quote}|{kind}", f"s:{short}|{kind}", f"dash:{dash}|{kind}", f"bul:{bullet}{number}"]
-        # beyond doubt?
+        # what rules say
         if listed or month:
             p.label = 0
         elif bullet or number:
@@ -335,7 +417,8 @@ def tally(texts: Iterable[str]) -> tuple[dict[str, Counter], list[tuple[str, lis
             para = text[a:b].strip()
             if not para:
                 continue
-            spots = places(para)
+            o = Outline(para)
+            spots = places(para, o)
             seen.append((para, spots))
             last, gone = "", 0
             for m in WORD.finditer(para):
@@ -346,10 +429,11 @@ def tally(texts: Iterable[str]) -> tuple[dict[str, Counter], list[tuple[str, lis
                     got["p"][last, w] += 1
                 last, gone = w, m.end()
             sure = [p for p in spots if p.label == 1 and p.kind != "space"]
-            firsts = [_first_word(para, 0), *[_first_word(para, p.next) for p in sure]]
+            kernel = Runs(KERNEL, para)
+            firsts = [o.first_word(0), *[o.first_word(p.next) for p in sure]]
             got["s"].update((x, "") for x in firsts if x)
-            tails = [para[: p.end].rstrip(FINAL + CLOSERS + "  ") for p in sure] + [para.rstrip(FINAL + CLOSERS + "  ")]
-            got["e"].update((x, "") for t in tails if (x := _last_word(t, len(t))))
+            tails = [run[1] for end in [*(p.end for p in sure), len(para)] if (run := kernel.before(end))]
+            got["e"].update((x, "") for t in tails if (x := o.last_word(t)))
             got["b"].update(_around(p) for p in spots if p.label is None and not p.mark and "lexical" in p.features)
     return got, seen
 
@@ -396,7 +480,7 @@ def stripped(seen: list[tuple[str, list[Place]]], share: float) -> Iterator[tupl
     per_end = sum(len(p.split(" ")) for p, _ in seen) / max(1, sum(1 for _, s in seen for x in s if x.label == 1))
     others = min(200, int(1000 * share / (1 - share) / max(per_end, 1)))
     for k, (para, spots) in enumerate(seen):
-        cuts = [p for p in spots if p.label == 1 and p.kind != "space" and not p.close]
+        cuts = [p for p in spots if p.label == 1 and not p.close]
         parts, at = [], 0
         for p in [*cuts, None]:
             piece = para[at : p.end if p else len(para)].strip()
@@ -420,7 +504,8 @@ def stripped(seen: list[tuple[str, list[Place]]], share: float) -> Iterator[tupl
                         marks.append((n, 0))
                     n += 1
             if i + 1 < len(parts):
-                out.append("\n")
+                thai = script(piece[-1]) == script(parts[i + 1][0]) == "thai"
+                out.append(" " if thai else "\n")
                 marks.append((n, 1))
                 n += 1
         yield "".join(out), marks
@@ -450,6 +535,7 @@ def fit(texts: list[str], rounds: int = 5, share: float | None = None, fetch: Ca
     data = [(text, spots, [model.expanded(p) for p in spots]) for text, spots in given]
     total: dict[str, float] = defaultdict(float)
     step = 1
+    model.weight = {"rule0": -PRIOR, "rule1": PRIOR} if data else {}
     for _ in range(rounds):
         for text, spots, features in data:
             got = model.tags(text, spots, features)
@@ -482,7 +568,7 @@ def units(text: str, model: Model) -> list[tuple[int, int]]:
         if not para:
             continue
         spots = places(para)
-        tags = model.tags(para, spots, [model.expanded(p) for p in spots], clamp=True)
+        tags = model.tags(para, spots, [model.expanded(p) for p in spots])
         at = 0
         for p, t in zip(spots, tags):
             if t:
@@ -592,7 +678,7 @@ def sentence_units(documents: DataFrame, *, key: str, text: str, model: Model |
             keys = set()
             for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for a, b in paragraphs(t):
-                    keys |= {(g, *x) for x in wanted(p for p in places(t[a:b].strip()) if p.label is None)}  # known labels are kept
+                    keys |= {(g, *x) for x in wanted(places(t[a:b].strip()))}
             keys = list(keys)
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["g", "a", "b"])
 

@@ -1,3 +1,5 @@
+import timeit
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,36 @@ def test_long_text(model):
     assert len(se.units(text, model)) == 20_000
 
 
+@pytest.mark.parametrize("part", ['He said "it works. It does," and left (see fig. 3). “Quoted. Text.” ', "A. B. ", "((( . a. ", "的。", "\n1. a", "(]", "a.B "])
+def test_time_grows_with_length(part):
+    empty, took = se.Model(), []
+    for n in (20_000, 160_000):
+        text = (part * (n // len(part) + 1))[:n]
+        took.append(min(timeit.repeat(lambda: se.units(text, empty), number=1, repeat=3)))
+    assert took[1] < 24 * took[0] + 0.05  # eight times as long; quadratic work would take 64 times
+
+
+def test_no_window_on_words(model):
+    long = "a" * 300
+    text = f"The {long}. Readers should copy it again."
+    assert [text[a:b] for a, b in se.units(text, model)] == [f"The {long}.", "Readers should copy it again."]
+    o = se.Outline(f"x {long}" + " " * 200 + "Word")
+    assert o.first_word(302) == "Word" and o.last_word(302) == long
+
+
+def test_every_place_is_decoded(model):
+    """Against all rules, strong enough evidence moves a boundary: no tag is fixed before decoding."""
+    text = "The old log counts all files. Readers should copy it again."
+    other = se.Model()
+    other.weight = dict(model.weight) | {"rule1": -100.0}
+    assert len(se.units(text, model)) == 2 and len(se.units(text, other)) == 1
+
+
+def test_quotes_of_two_kinds_in_a_paragraph(model):
+    text = "小组写道：“第9版已过期。” Eps schrieb: „Die Liste zählt alle Wörter.“ Der Index prüft die Seiten."
+    assert [text[a:b] for a, b in se.units(text, model)] == ["小组写道：“第9版已过期。”", "Eps schrieb: „Die Liste zählt alle Wörter.“", "Der Index prüft die Seiten."]
+
+
 def test_spark(spark):
     rows = [(str(i), "The old log counts all files. Readers should copy it again.", "x", 1) for i in range(5)]
     df = spark.createDataFrame([*rows, ("n", None, "x", 1), ("e", "", "x", 1), rows[0]], "id string, text string, sentence string, k int")
