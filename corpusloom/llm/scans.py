@@ -3,15 +3,17 @@
 Page furniture is found by what repeats within a file: a printed number keeps
 its distance to the page's own number, a head its letters. Words cut at line
 ends are joined when the corpus knows them joined. Misread characters are
-corrected by a noisy channel: candidates are the corpus words a reading can
-stand for, weighed by character confusion probabilities (estimated from the
-corpus) times the likelihood of the corpus's word pairs, and decoded by Viterbi
-over the words of a line.
-
-Rows are grouped by page only; what a page must know of its file or its
-neighbours comes to it through joins on file and key or file and page, so a
-file of any size is never in one task. The lexicon holds every word and pair
-used at least ``LEAST`` times, whatever the size of the corpus. It is sent to
+corrected by a noisy channel: the candidates of every word are all corpus words
+it can be a reading of and the word itself, weighed by character confusion
+probabilities (estimated from the corpus) times the likelihood of the corpus's
+word pairs, and decoded by Viterbi over the words of a line. Counts are taken
+without the occurrence at hand and less what misreadings of other words explain.
+
+Rows are grouped by page only, and a page is cut into lines once; what a page
+must know of its file or its neighbours comes to it through joins on file and
+key or file and page, so a file of any size is never in one task. The lexicon
+holds every word and pair used at least ``LEAST`` times, whatever the size of
+the corpus: without the occurrence at hand, others have no count. It is sent to
 the executors whole if counted to have at most ``LEXICON`` entries; else groups
 of pages fetch the entries that their words need by a join on the words' forms.
 """
@@ -24,14 +26,19 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import checkpointed, rows_within
 
-#: Uses from which a word or pair counts as known, at every size: a single one may be a misreading.
+#: Uses from which a word or pair counts as known, at every size: without the occurrence at hand a single one has none.
 LEAST = 2
+#: Misreadings allowed for above the expected number before a word counts as one, in general and with a sign or digit among its letters.
+DOUBT, ODD_DOUBT = 20.0, 400.0
+#: Uses supposed of a word never seen, and the chance that a word with such a sign is meant so.
+UNSEEN, AS_MEANT = 0.001, math.log(1e-4)
 #: Most entries of a lexicon that is sent to the executors whole.
 LEXICON = 200_000
 #: Pages that fetch their part of a larger lexicon together, and neighbouring pages of a file kept together.
@@ -51,6 +58,7 @@ DIGITS = {"l": "1", "I": "1", "i": "1", "|": "1", "!": "1", "O": "0", "o": "0",
 
 TOKEN = re.compile(r"(?:[^\W_]|[@|])+")
 COMPOUND = re.compile(r"(?:[^\W_]|[@|])+(?:[-‐](?:[^\W_]|[@|])+)+")
+ODD = re.compile(r"[@|ſ]|[^\W\d_]\d|\d[^\W\d_]")
 BROKEN = re.compile(rf"((?:[^\W_]|[@|'’])+(?:[-‐](?:[^\W_]|[@|])+)*)([{SIGNS}])\s*$")
 SINGLE = {}
 for _a, _b in CONFUSED:
@@ -92,11 +100,11 @@ class Lexicon:
         self.words, self.pairs, self.total = words, pairs, max(total, 1)
         self.by_form: dict[str, list[str]] = defaultdict(list)
         for w in words:
-            if len(w) > 1:
-                self.by_form[skeleton(w)].append(w)
-        self.cost = cost or self.costs(self.evidence([(w, words[w]) for w in group] for group in self.by_form.values()), self.letters(words.items()))
-        self.noise: dict[str, bool] = {}
+            self.by_form[skeleton(w)].append(w)
+        self.cost = cost or self.costs(self.evidence([(w, words[w]) for w in group if len(w) > 1] for group in self.by_form.values()), self.letters(words.items()))
+        self.uses: dict[str, float] = {}
         self.memo: dict[str, list] = {}
+        self.choice: dict[str, list] = {}
 
     @classmethod
     def evidence(cls, groups: Iterable[list[tuple[str, int]]]) -> Counter:
@@ -141,35 +149,44 @@ class Lexicon:
         return out
 
     def alternatives(self, word: str) -> list[tuple[str, float, list[int]]]:
-        """Corpus words other than it that a lower-case word may stand for, with channel and misread places."""
+        """All corpus words other than it that a lower-case word may stand for, with channel and misread places."""
         if word not in self.memo:
-            out = []
-            for c in self.by_form.get(skeleton(word), ()):
-                if c != word and (hit := aligned(word, c, self.cost)) and hit[1]:
-                    out.append((c, hit[0], hit[1]))
-            self.memo[word] = sorted(out, key=lambda x: -self.words[x[0]])[:8]
+            found = ((c, aligned(word, c, self.cost)) for c in self.by_form.get(skeleton(word), ()) if c != word)
+            self.memo[word] = [(c, *hit) for c, hit in found if hit and hit[1]]
         return self.memo[word]
 
-    def is_noise(self, word: str) -> bool:
-        """Is the count of a word what misreadings of a commoner word explain?"""
-        if word not in self.noise:
+    def options(self, word: str) -> list[tuple[str, float, list[int]]]:
+        """What a lower-case word may stand for, itself first."""
+        if word not in self.choice:
+            out = [(word, AS_MEANT if odd(word) else 0.0, [])]
+            if not word.isdigit():
+                others = self.alternatives(word)
+                out += others
+                if not others and (plain := _plain(word, self.cost)):
+                    out.append(plain)
+            self.choice[word] = out
+        return self.choice[word]
+
+    def supposed(self, word: str) -> float:
+        """Uses of a word beyond those that misreadings of other words explain."""
+        if word not in self.uses:
             n = self.words.get(word, 0)
-            odd = bool(re.search(r"[@|ſ]", word)) or bool(re.search(r"[^\W\d_]\d|\d[^\W\d_]", word))
-            most = max((self.words[c] for c, _, _ in self.alternatives(word)), default=0)
-            self.noise[word] = most > n and n <= 1 + 0.1 * most if not odd else most > 0.5 * n
-        return self.noise[word]
+            if n:
+                n -= (ODD_DOUBT if odd(word) else DOUBT) * sum(self.words[c] * math.exp(p) for c, p, _ in self.alternatives(word))
+            self.uses[word] = max(n, UNSEEN)
+        return self.uses[word]
 
     def known(self, word: str) -> int:
         """Count of the word, or of the word it is a misreading of."""
         own = self.words.get(word, 0)
-        return own if own and not self.is_noise(word) else max((self.words[c] for c, _, _ in self.alternatives(word)), default=own)
-
-    def chance(self, before: str | None, word: str) -> float:
-        if word not in self.words or self.is_noise(word):
-            return math.log(0.001 / self.total)  # rarer than a misreading of any known word
-        p = self.words[word] / self.total
-        if before is not None and (m := self.words.get(before)) and not self.is_noise(before):
-            p = 0.3 * p + 0.7 * self.pairs.get((before, word), 0) / m
+        return own if self.supposed(word) >= 1 else max((self.words[c] for c, _, _ in self.alternatives(word)), default=own)
+
+    def chance(self, before: str | None, word: str, here: bool, both: bool) -> float:
+        """Log probability of a word after another; ``here`` and ``both``: the word, the pair is the occurrence at hand, which does not count."""
+        uses = self.supposed(word)
+        p = max(uses - here, UNSEEN) / self.total
+        if before is not None and self.supposed(before) >= 1 and (n := self.pairs.get((before, word), 0)):
+            p = 0.3 * p + 0.7 * max(n * uses / self.words.get(word, uses) - both, 0) / self.words[before]
         return math.log(p)
 
 
@@ -177,39 +194,52 @@ _KNOWN = set(CONFUSED)
 _MEANT = {meant[0] for _, meant in CONFUSED}
 
 
+def odd(word: str) -> bool:
+    """Has a word signs or digits among its letters?"""
+    return not word.isalpha() and ODD.search(word) is not None or "ſ" in word
+
+
 def decoded(tokens: list[str], lex: Lexicon) -> list[tuple[str, list[int]]]:
-    """What each token of a line stands for, and the places misread in it, by Viterbi over the candidates."""
-    lattice = []
-    for t in tokens:
-        low = t.lower()
-        options = [(low, 0.0, [])]
-        if len(low) > 1 and not low.isdigit():
-            alts = lex.alternatives(low)
-            if alts and (lex.is_noise(low) or low not in lex.words):
-                options += alts
-            elif not alts and low not in lex.words and (fixed := _plain(low)):
-                options = [fixed]
-            elif not alts and re.search(r"[@ſ]", low) and (fixed := _plain(low)):
-                options = [fixed]
-        lattice.append(options)
-    best = [(0.0, -1)]
-    back, prev = [], [None]
-    for options in lattice:
+    """What each token of a line stands for, and the places misread in it, by Viterbi over the candidates.
+
+    Words with one candidate part a line: between two of them it is decoded by itself.
+    """
+    lattice = [lex.options(t.lower()) for t in tokens]
+    out = [(options[0][0], options[0][2]) for options in lattice]
+    k = 0
+    while k < len(lattice):
+        if len(lattice[k]) == 1:
+            k += 1
+            continue
+        end = k
+        while end < len(lattice) and len(lattice[end]) > 1:
+            end += 1
+        out[k:end] = _best_path(lattice[k - 1] if k else None, lattice[k:end], lattice[end] if end < len(lattice) else None, lex)
+        k = end + 1
+    return out
+
+
+def _best_path(left: list | None, lattice: list[list], right: list | None, lex: Lexicon) -> list[tuple[str, list[int]]]:
+    """The likeliest words of a stretch between two words known."""
+    best, prev, back = [0.0], left or [(None, 0.0, [])], []
+    for options in [*lattice, *([right] if right else [])]:
         row = []
-        for word, channel, _ in options:
-            k, p = max(enumerate(best[i][0] + lex.chance(prev[i], word) for i in range(len(best))), key=lambda x: x[1])
-            row.append((p + channel, k))
+        for w, (word, channel, _) in enumerate(options):
+            scores = [best[i] + lex.chance(p[0], word, w == 0, w == 0 and i == 0) for i, p in enumerate(prev)]
+            at = max(range(len(scores)), key=scores.__getitem__)
+            row.append((scores[at] + channel, at))
         back.append(row)
-        best, prev = row, [o[0] for o in options]
-    out, k = [], max(range(len(best)), key=lambda i: best[i][0])
-    for options, row in zip(reversed(lattice), reversed(back)):
+        best, prev = [x for x, _ in row], options
+    k = max(range(len(best)), key=best.__getitem__)
+    out = []
+    for options, row in zip(reversed([*lattice, *([right] if right else [])]), reversed(back)):
         out.append((options[k][0], options[k][2]))
         k = row[k][1]
-    return out[::-1]
+    return out[::-1][: len(lattice)]
 
 
-def _plain(word: str) -> tuple[str, float, list[int]] | None:
-    """An unknown word with a sign or single digit among its letters, that sign read as a letter."""
+def _plain(word: str, cost: dict[tuple[str, str], float]) -> tuple[str, float, list[int]] | None:
+    """A word of no known form with a sign or single digit among its letters, that sign read as a letter."""
     if len(word) < 4:
         return None
     at = [i for i, ch in enumerate(word) if ch in "@ſ|" or (ch in "0158" and 0 < i)]
@@ -217,7 +247,8 @@ def _plain(word: str) -> tuple[str, float, list[int]] | None:
         return None
     if any(word[i].isdigit() for i in at) and (len(word) < 5 or word[-1].isdigit() and len(word) < 6):
         return None
-    return "".join(SINGLE.get(ch, ch) if i in at else ch for i, ch in enumerate(word)), 0.0, at
+    meant = "".join(SINGLE.get(ch, ch) if i in at else ch for i, ch in enumerate(word))
+    return meant, sum(cost[word[i], SINGLE[word[i]]] for i in at if word[i] in SINGLE), at
 
 
 def restored(token: str, word: str) -> str:
@@ -285,15 +316,9 @@ def head_key(text: str) -> str:
     return skeleton(re.sub(r"[^\w@|]", "", text.lower()))
 
 
-def page_lines(blocks: list[dict]) -> list[tuple[int, int, str]]:
-    """Block, line number and text of the lines of a page in reading order, each block once."""
-    out, done = [], set()
-    for b in sorted(blocks, key=lambda b: (b["block_no"] is None, b["block_no"] or 0, b["block_id"] or 0)):
-        if b["block_id"] in done:
-            continue
-        done.add(b["block_id"])
-        out += [(b["block_id"], n, x.rstrip("\r")) for n, x in enumerate((b["text"] or "").split("\n"), 1)]
-    return out
+def page_lines(row: dict) -> list[tuple[int, int, str]]:
+    """Block, line number and text of the lines of a page."""
+    return list(zip(row["block_ids"], row["line_nos"], row["lines"].split("\n"))) if row["block_ids"] else []
 
 
 EDGE = 3
@@ -336,6 +361,10 @@ def is_split(begin: str, sign: str, end: str, lex: Lexicon) -> bool:
     return not (lex.words.get(a, 0) > 1 and lex.words.get(b, 0) > 1 and len(b) > 3)
 
 
+#: Fixed value: what ends a sentence or leads to a list.
+ENDED = re.compile(r"[.!?…:。！？][\"'”’»)\]]*\s*$")
+
+
 class Line:
     __slots__ = ("block", "no", "text", "gap")
 
@@ -384,20 +413,20 @@ def needed(lines: list[Line], before: str | None, after: str | None) -> set[tupl
     return out
 
 
-def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexicon) -> tuple[list[tuple[int, int, str]], list[str]]:
-    """Noise of the running lines of a page, and its repaired paragraphs.
+def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexicon) -> tuple[list[tuple[int, int, str]], list[str], str | None]:
+    """Noise of the running lines of a page, its repaired paragraphs, and what stands between the first of them
+    and the last of the page before where that one runs on (null: it does not).
 
     ``before`` and ``after`` are the last and first running lines of the pages
     next to it: a word cut between pages is completed on the page where it
     begins and left out of the one where it ends.
     """
     noise, texts = [], []
-    held = 0  # length of the word's end taken from the beginning of the line by the one before
+    held, cut_before = 0, False  # length of the word's end taken from the beginning of the line by the one before
     if before is not None and lines and (cut := broken_word(before)):
         first = TOKEN.match(lines[0].text)
         if first and is_split(*cut, first.group(), lex):
-            held = first.end()
-    skip = None
+            held, cut_before = first.end(), True
     for i, line in enumerate(lines):
         text, spans = line.text, [(m.start(), m.end()) for m in TOKEN.finditer(line.text) if m.start() >= held]
         tail, cut = "", broken_word(text)
@@ -437,12 +466,20 @@ def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexi
     for line, text in zip(lines, texts):
         if not text:
             continue
-        if paragraphs and (not line.gap or (not re.search(r"[.!?…:。！？][\"'”’»)\]]*$", paragraphs[-1]) and text[:1].islower())):
+        if paragraphs and (not line.gap or (not ENDED.search(paragraphs[-1]) and text[:1].islower())):
             tied = re.search(r"[^\W\d_][-‐]$", paragraphs[-1]) and text[:1].islower()
             paragraphs[-1] += ("" if tied or text[:1] in ".,;:!?" else " ") + text
         else:
             paragraphs.append(text)
-    return sorted(set(noise)), paragraphs
+    glue = None
+    if before is not None and lines and not ENDED.search(before):
+        width = sorted(len(x.text) for x in lines)[len(lines) // 2]
+        first = next((t for t in texts if t), "")
+        tied = re.search(r"[^\W\d_][-‐]$", before) is not None and first[:1].islower()
+        # a heading is short; a line of running text fills its width, whatever follows
+        if tied or cut_before or first[:1].islower() or len(before) >= 0.7 * width:
+            glue = "" if (tied and not cut_before) or first[:1] in ".,;:!?" else " "
+    return sorted(set(noise)), paragraphs, glue
 
 
 def page_noise_across(lines: list[Line], before: str | None, lex: Lexicon) -> list[tuple[int, int, str]]:
@@ -462,11 +499,37 @@ def page_noise_across(lines: list[Line], before: str | None, lex: Lexicon) -> li
 
 
 def _pages(blocks: DataFrame) -> DataFrame:
-    """One row a page: file, page, whether the file is scanned, and its blocks."""
+    """One row a page: file, page, whether the file is scanned, its lines in reading order (each block once) and, if it is not, its blocks."""
     one = blocks.select("block_id", "source_id", "page", "block_no", F.col("text").cast("string").alias("text"), F.col("ocr_confidence").isNotNull().alias("scan")).where("block_id is not null")
     files = one.groupBy("source_id").agg(F.max("scan").alias("scanned"))
-    pages = one.groupBy("source_id", "page").agg(F.collect_list(F.struct("block_id", "block_no", "text")).alias("blocks"))
-    return pages.join(files, pages["source_id"].eqNullSafe(files["source_id"])).select(pages["source_id"], "page", "scanned", "blocks")
+    pages = one.groupBy("source_id", "page").agg(F.collect_list(F.struct("block_no", "block_id", "text")).alias("blocks"))
+    pages = pages.join(files, pages["source_id"].eqNullSafe(files["source_id"])).select(pages["source_id"], "page", "scanned", "blocks")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("blocks")
+            flat = column.flatten()
+            no, ids, texts = (flat.field(k).to_pylist() for k in range(3))
+            ends = np.cumsum([0, *column.value_lengths().to_pylist()]).tolist()
+            out: list[list] = [[], [], [], []]
+            for (a, b), scanned in zip(zip(ends, ends[1:]), batch.column("scanned").to_pylist()):
+                own, nos, lines, done, plain = [], [], [], set(), []
+                for k in sorted(range(a, b), key=lambda k: (no[k] is None, no[k] or 0, ids[k], texts[k] is None, texts[k] or "")):
+                    if ids[k] in done:
+                        continue
+                    done.add(ids[k])
+                    part = [x.rstrip("\r") for x in (texts[k] or "").split("\n")]
+                    own += [ids[k]] * len(part)
+                    nos += range(1, len(part) + 1)
+                    lines += part
+                    if not scanned and texts[k] is not None:
+                        plain.append(texts[k])
+                for col, value in zip(out, (own, nos, "\n".join(lines), plain)):
+                    col.append(value)
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("source_id", "page", "scanned")), *map(pa.array, out, kinds)], names=["source_id", "page", "scanned", "block_ids", "line_nos", "lines", "plain"])
+
+    return pages.mapInArrow(cut, "source_id string, page int, scanned boolean, block_ids array<long>, line_nos array<int>, lines string, plain array<string>")
 
 
 def _furniture(pages: DataFrame) -> DataFrame:
@@ -477,7 +540,7 @@ def _furniture(pages: DataFrame) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 seen: Counter = Counter()
-                for block, no, text, side, flows in edge_lines(page_lines(r["blocks"])):
+                for block, no, text, side, flows in edge_lines(page_lines(r)):
                     head, style, numbers = edge_readings(text)
                     for kind, value, marked in numbers:
                         rows.append((r["source_id"], r["page"], block, no, "number", f"{kind}:{value - (r['page'] or 0)}", "marked" if kind == "arabic" and (marked or head) else side, side, 0, False))
@@ -490,12 +553,12 @@ def _furniture(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.bool_()))], names=["source_id", "page", "block_id", "line_no", "what", "key", "style", "side", "nth", "flows"])
 
     shape = "source_id string, page int, block_id long, line_no int, what string, key string, style string, side string, nth int, flows boolean"
-    found = pages.where("scanned").select("source_id", "page", "blocks").mapInArrow(read, shape)
+    found = checkpointed(pages.where("scanned").select("source_id", "page", *LINES).mapInArrow(read, shape))  # read by its keys, its files and itself
     plain = F.col("style") == "plain"
     keys = found.groupBy("source_id", "what", "key").agg(
         F.countDistinct("page").alias("n_pages"), F.count(F.when(F.col("style") == "marked", 1)).alias("n_marked"), F.count(F.when(~plain, 1)).alias("n_styled"), F.min(F.when(plain, F.col("page"))).alias("first_plain"), F.avg(F.col("flows").cast("int")).alias("flow"), F.countDistinct(F.when(F.col("page") % 2 == 0, F.col("page"))).alias("n_left")
     )
-    files = found.groupBy("source_id").agg(F.approx_count_distinct("page").alias("file_pages"), F.count(F.when((F.col("what") == "head") & ~plain, 1)).alias("file_styled"))
+    files = found.groupBy("source_id").agg(F.countDistinct("page").alias("file_pages"), F.count(F.when((F.col("what") == "head") & ~plain, 1)).alias("file_styled"))
     joined = found.join(keys, ["source_id", "what", "key"]).join(files, "source_id")
     enough = F.greatest(F.lit(2.0), F.lit(0.12) * F.col("file_pages"))
     number = (F.col("what") == "number") & ((F.col("n_pages") >= enough) | ((F.col("n_pages") > 1) & (F.col("key").startswith("roman") | (F.col("n_marked") > 1))) | (F.col("style") == "marked"))
@@ -514,24 +577,27 @@ def _counted(pages: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words: Counter = Counter()
-            for r in batch.to_pylist():
+            pairs: Counter = Counter()
+            for page in batch.column(0).to_pylist():
                 cut = False
-                for _, _, text in page_lines(r["blocks"]):
-                    if not text.strip():
+                for text in page.split("\n"):
+                    tokens = TOKEN.findall(text)
+                    if not tokens:
+                        cut = cut and not text.strip()
                         continue
-                    tokens = [m.group() for m in TOKEN.finditer(text)]
-                    low = [t.lower() for t in tokens[int(cut) :]]
-                    cut = broken_word(text) is not None
-                    if cut:
-                        low = low[:-1]
-                    words.update((t, "") for t in low if not t.isdigit())
-                    words.update(zip(low, low[1:]))
-                    body = text[: text.rstrip().rfind(tokens[-1])] if cut and tokens else text
-                    words.update((m.group().lower().replace("‐", "-"), "") for m in COMPOUND.finditer(body))
-            keys = list(words)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([words[k] for k in keys], pa.int64())], names=["a", "b", "n"])
+                    low = [t.lower() for t in tokens]
+                    begin, cut = int(cut), text.rstrip()[-1:] in SIGNS and broken_word(text) is not None
+                    low = low[begin : len(low) - cut]
+                    words.update(low)
+                    pairs.update(zip(low, low[1:]))
+                    if "-" in text or "‐" in text:
+                        body = text[: text.rstrip().rfind(tokens[-1])] if cut else text
+                        words.update(m.group().lower().replace("‐", "-") for m in COMPOUND.finditer(body))
+            kept = [w for w in words if not w.isdigit()]
+            a, b = [*kept, *(k[0] for k in pairs)], [*[""] * len(kept), *(k[1] for k in pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array([*(words[w] for w in kept), *pairs.values()], pa.int64())], names=["a", "b", "n"])
 
-    return pages.select("blocks").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return pages.select("lines").mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def _channel(entries: DataFrame) -> dict[tuple[str, str], float]:
@@ -569,7 +635,7 @@ def _lexicon(entries: list[dict], total: int, cost: dict[tuple[str, str], float]
 
 
 def _running(r: dict) -> list[Line]:
-    return running_lines(page_lines(r["blocks"]), {(m["block_id"], m["line_no"]) for m in r["marks"] or ()})
+    return running_lines(page_lines(r), {(m["block_id"], m["line_no"]) for m in r["marks"] or ()})
 
 
 def _mended(rows: list[dict], lex: Lexicon | None) -> pa.RecordBatch:
@@ -577,20 +643,19 @@ def _mended(rows: list[dict], lex: Lexicon | None) -> pa.RecordBatch:
     out = []
     for r in rows:
         if not r["scanned"]:
-            texts = {b["block_id"]: b for b in r["blocks"]}
-            ordered = sorted(texts.values(), key=lambda b: (b["block_no"] is None, b["block_no"] or 0, b["block_id"]))
-            out.append((r["source_id"], r["page"], [], [b["text"] for b in ordered if b["text"] is not None]))
+            out.append((r["source_id"], r["page"], [], r["plain"], None))
             continue
         run = _running(r)
         across = page_noise_across(run, r["before"], lex)
-        noise, paragraphs = repaired(run, r["before"], r["after"], lex)
-        out.append((r["source_id"], r["page"], [dict(zip(("block_id", "line_no", "noise_kind"), x)) for x in {*noise, *across}], paragraphs))
-    cols = list(zip(*out)) or [[]] * 4
+        noise, paragraphs, glue = repaired(run, r["before"], r["after"], lex)
+        out.append((r["source_id"], r["page"], [dict(zip(("block_id", "line_no", "noise_kind"), x)) for x in {*noise, *across}], paragraphs, glue))
+    cols = list(zip(*out)) or [[]] * 5
     kind = pa.list_(pa.struct([("block_id", pa.int64()), ("line_no", pa.int32()), ("noise_kind", pa.string())]))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), kind, pa.list_(pa.string())))], names=["source_id", "page", "noise", "paragraphs"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), kind, pa.list_(pa.string()), pa.string()))], names=["source_id", "page", "noise", "paragraphs", "glue"])
 
 
-MENDED = "source_id string, page int, noise array<struct<block_id:long,line_no:int,noise_kind:string>>, paragraphs array<string>"
+LINES = ("block_ids", "line_nos", "lines")
+MENDED = "source_id string, page int, noise array<struct<block_id:long,line_no:int,noise_kind:string>>, paragraphs array<string>, glue string"
 
 
 def _fetched(full: DataFrame, entries: DataFrame, total: int) -> DataFrame:
@@ -624,7 +689,7 @@ def _repaired(blocks: DataFrame, lexicon_rows: int = LEXICON) -> tuple[DataFrame
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
-                lines = running_lines(page_lines(r["blocks"]), {(m["block_id"], m["line_no"]) for m in r["marks"] or ()})
+                lines = _running(r)
                 lines = [x for x in lines if re.search(r"[^\W\d_]", x.text)]  # bare numbers carry no word over
                 if lines:
                     rows.append((r["source_id"], r["page"] - 1, None, lines[0].text))
@@ -632,7 +697,7 @@ def _repaired(blocks: DataFrame, lexicon_rows: int = LEXICON) -> tuple[DataFrame
             cols = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string()))], names=["source_id", "page", "before", "after"])
 
-    sides = known.where("scanned and page is not null").select("source_id", "page", "blocks", "marks").mapInArrow(ends, "source_id string, page int, before string, after string")
+    sides = known.where("scanned and page is not null").select("source_id", "page", *LINES, "marks").mapInArrow(ends, "source_id string, page int, before string, after string")
     sides = sides.groupBy("source_id", "page").agg(F.max("before").alias("before"), F.max("after").alias("after"))
     full = known.join(sides, ["source_id", "page"], "left")
 
@@ -667,10 +732,33 @@ def scanned_noise(blocks: DataFrame) -> DataFrame:
 
 
 def repaired_paragraphs(blocks: DataFrame) -> DataFrame:
-    """Repaired text ``(source_id, page, para_no, text)`` in reading order; blocks of files not scanned come unchanged.
+    """Repaired text ``(source_id, page, para_no, text)``, a row a paragraph of a file; blocks of files not scanned come unchanged.
 
-    Cases as in :func:`scanned_noise`. A paragraph that runs on over a page's
-    end gives one row a page; a word cut there is whole on the page it begins.
+    A paragraph that runs over the ends of pages is one row, with the page it
+    begins on and its number there, so rows are in reading order by page and
+    number. Cases as in :func:`scanned_noise`; a paragraph is as long as the
+    text runs on.
     """
     pages, _ = _repaired(blocks)
-    return pages.select("source_id", "page", F.posexplode("paragraphs").alias("para_no", "text"))
+    pages = checkpointed(pages.select("source_id", "page", "paragraphs", "glue"))
+    # a page that holds no more than a piece of one paragraph passes it on; the others begin one with their last
+    flags = pages.where("page is not null").select("source_id", "page", (F.col("glue").isNotNull() & (F.size("paragraphs") < 2)).alias("through"), F.floor(F.col("page") / 1024).alias("bucket"))
+    begins = F.when(~F.col("through"), F.col("page"))
+    near = flags.withColumn("start", F.max(begins).over(Window.partitionBy("source_id", "bucket").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)))
+    # over buckets of pages: few rows even of a file that holds a third of all pages
+    far = flags.groupBy("source_id", "bucket").agg(F.max(begins).alias("last"))
+    far = far.select(F.col("source_id").alias("s"), F.col("bucket").alias("b"), F.max("last").over(Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"))
+    starts = near.join(far, near["source_id"].eqNullSafe(far["s"]) & (near["bucket"] == far["b"])).select("source_id", "page", F.coalesce("start", "earlier").alias("start"))
+    starts = starts.toDF("s", "p", "start")
+    placed = pages.join(starts, pages["source_id"].eqNullSafe(starts["s"]) & (pages["page"] == starts["p"]), "left").drop("s", "p")
+    n, runs_on = F.size("paragraphs"), F.col("glue").isNotNull() & F.col("start").isNotNull()
+    pieces = placed.select("source_id", "page", "glue", "start", n.alias("n"), runs_on.alias("runs_on"), F.posexplode("paragraphs").alias("at", "text"))
+    edge = (F.col("page").isNotNull()) & ((F.col("runs_on") & (F.col("at") == 0)) | (F.col("at") == F.col("n") - 1))
+    inner = pieces.where(~edge).select("source_id", "page", F.col("at").alias("para_no"), "text")
+    mine = pieces.where(edge).withColumn("joined", F.col("runs_on") & (F.col("at") == 0))
+    parts = mine.groupBy("source_id", F.when(F.col("joined"), F.col("start")).otherwise(F.col("page")).alias("first")).agg(
+        F.sort_array(F.collect_list(F.struct("page", "at", F.when(F.col("joined"), F.concat("glue", "text")).otherwise(F.col("text")).alias("text")))).alias("parts"),
+        F.max(F.when(~F.col("joined"), F.col("at"))).alias("para_no"),
+    )
+    whole = parts.select("source_id", F.col("first").alias("page"), F.coalesce("para_no", F.lit(0)).alias("para_no"), F.ltrim(F.array_join("parts.text", "")).alias("text"))
+    return inner.unionByName(whole)

@@ -45,7 +45,26 @@ def test_paragraphs(spark, blocks):
     assert got["digital", 3][0].startswith("DENSE INDEX NOTES   13\n\n")
     seven = " ".join(got["scan", 7])
     assert "The source archive keeps all table ratings for" in seven and "The long-lived index forwards utf8 links. The policy" in seven
-    assert got["scan", 8][0].startswith("file utf8 links.")
+    assert got["scan", 7][-1].endswith("The policy file utf8 links. After utf8 weeks.") and ("scan", 8) not in got  # one paragraph over two pages
+
+
+def test_paragraph_over_many_pages(spark):
+    """A paragraph that fills pages of its own is one row; a heading at a page's end and a sentence's end stop it."""
+    page = lambda n, *lines: (n, "s", n, 0, "\n".join(lines), 0.8, "x", "en")
+    rows = [
+        page(1, "The first text stands here and ends.", "", "The owner of the list should keep"),
+        page(2, "all rows of the archive and also"),
+        page(3, "the notes of the desk, as the policy"),
+        page(4, "asks. Another sentence ends here.", "", "A heading"),
+        page(5, "The owner of the list should keep all rows."),
+        (6, "s", None, 0, "no page", 0.8, "x", "en"),
+        (7, None, 2, 0, "no file, and it goes on with words", 0.8, "x", "en"),
+        (8, None, 3, 0, "to the next page of it.", 0.8, "x", "en"),
+    ]
+    got = {(x["source_id"], x["page"], x["para_no"]): x["text"] for x in sc.repaired_paragraphs(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert got["s", 1, 1] == "The owner of the list should keep all rows of the archive and also the notes of the desk, as the policy asks. Another sentence ends here."
+    assert got["s", 1, 0] == "The first text stands here and ends." and got["s", 4, 1] == "A heading" and got["s", 5, 0].startswith("The owner") and got["s", None, 0] == "no page"
+    assert got[None, 2, 0] == "no file, and it goes on with words" and got[None, 3, 0] == "to the next page of it." and len(got) == 7
 
 
 def test_empty(spark, blocks):
@@ -60,6 +79,17 @@ def test_readings():
     assert sc.edge_readings("— 1 2 —")[2][0][:2] == ("arabic", 12) and sc.roman("lc") is None
 
 
+def test_a_word_that_is_a_word_can_be_misread():
+    """The context decides, not a bound on counts; all candidates of a form compete."""
+    words = {"the": 400, "old": 60, "tree": 60, "free": 50, "falls": 40, "copy": 60}
+    lex = sc.Lexicon(words, {("old", "tree"): 50, ("tree", "falls"): 40, ("free", "copy"): 50, ("the", "free"): 30}, 2000)
+    assert [w for w, _ in sc.decoded(["old", "free", "falls"], lex)] == ["old", "tree", "falls"]
+    assert [w for w, _ in sc.decoded(["the", "free", "copy"], lex)] == ["the", "free", "copy"]
+    many = {f"{a}a{b}": 30 + i for i, (a, b) in enumerate((x, y) for x in ("lo", "io", "l0", "1o", "i0") for y in ("se", "5e", "sc"))}
+    lex = sc.Lexicon(many, {}, 1000)
+    assert len(lex.options("10a5e")) > 9  # no candidate is left out
+
+
 def test_channel():
     lex = sc.Lexicon({"forward": 50, "customer": 40, "journal": 9, "size": 30, "utf8": 20}, {}, 1000)
     for read, want in (("forwarcl", "forward"), ("ciistomer", "customer"), ("joumal", "journal"), ("5ize", "size"), ("utf8", "utf8"), ("other", "other")):
