@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,7 +15,8 @@ def ingest_stream(docs: DataFrame, store: SnapshotStore, *, checkpoint: str, cfg
     """Every micro-batch replaces the chunks of the sources it brings; a repeated batch gives the same state."""
 
     def apply(batch: DataFrame, _: int) -> None:
-        newest = batch.dropDuplicates(["source_id"])
+        latest = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("_place")))
+        newest = batch.withColumn("_place", F.monotonically_increasing_id()).withColumn("_latest", latest).where("_latest = 1").drop("_place", "_latest")
         chunks = ingest(newest, cfg=cfg)
         old = store.load_all()
         store._swap(chunks=chunks if old is None else old.join(newest.select("source_id"), "source_id", "left_anti").unionByName(chunks, allowMissingColumns=True))
