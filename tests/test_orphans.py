@@ -46,6 +46,16 @@ def test_against_brute_force(spark, seed, options):
     assert {tuple(x) for x in got} == brute(refs, docs)
 
 
+def test_heavy_keys_are_decided_one_by_one(spark):
+    """A heavy key with many lifetimes is salted by itself; another heavy key is still not shuffled."""
+    day = lambda n: T0 + timedelta(days=n)
+    docs = [("a", day(2 * i), day(2 * i + 1), "x") for i in range(40)] + [("b", day(0), day(30), "x")]
+    refs = [(i, "a", day(i % 90) + timedelta(hours=i % 24), 1, "r", "k") for i in range(300)] + [(1000 + i, "b", day(i % 90), 1, "r", "k") for i in range(300)]
+    refs += [(2000 + i, "zz", day(i % 90), 1, "r", "k") for i in range(300)] + [(3000 + i, f"n{i}", day(i % 90), 1, "r", "k") for i in range(20)]
+    got = orphan_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(docs, DOCS), **NAMES, heavy_share=0.1, max_spans=8)
+    assert sorted(map(tuple, got.collect())) == sorted(brute(refs, docs))
+
+
 def test_empty_tables(spark):
     refs, docs = rows(7)
     none_r, none_d = spark.createDataFrame([], REFS), spark.createDataFrame([], DOCS)
