@@ -24,10 +24,10 @@ TOP = 0x110000
 WINDOW = 1 << 20
 
 # Letters that look like a Latin letter, by script, as look-alike then Latin.
-CYRILLIC = "аaеeоoрpсcуyхxіiѕsјjһhԁdԛqԝwүyАAВBЕEЗ3КKМMНHОOРPСCТTУYХXІIЅSЈJԌGԚQԜWҮYӀI".replace("З3", "")
+CYRILLIC = "аaеeоoрpсcуyхxіiѕsјjһhԁdԛqԝwүyАAВBЕEКKМMНHОOРPСCТTУYХXІIЅSЈJԌGԚQԜWҮYӀI"
 GREEK = "οoνvρpϲcϳjΑAΒBΕEΖZΗHΙIΚKΜMΝNΟOΡPΤTΥYΧXϹCͿJ"
 ARMENIAN = "օoսuոnհhցgզqՏSՕOԼLՍU"
-OTHER = "ɑaɡgɩiᴏoꓐBꓓDꓖGꓗKꓙJꓚCꓝFꓟMꓠNꓡLꓢSꓣRꓤRꓥA".replace("ꓤR", "").replace("ꓥA", "").replace("ɩi", "")
+OTHER = "ɑaɡgᴏoꓐBꓓDꓖGꓗKꓙJꓚCꓝFꓟMꓠNꓡLꓢSꓣR"
 # Hyphens as short as "-".
 HYPHENS = "‐‑‒−˗⁃﹣－"
 # Arabic letters and the Persian form of the same letter.
@@ -270,20 +270,37 @@ def canonical_text(col: Column | str) -> Column:
     return _udf()(F.col(col) if isinstance(col, str) else col)
 
 
+def look_alike_classes(documents: DataFrame, *, key: str, text: str) -> DataFrame:
+    """Membership ``(form, spelling, key, representative)`` of texts that look like a text stored otherwise.
+
+    ``form`` is the hash of the one form, ``spelling`` that of the stored
+    characters, ``representative`` the least key of the spelling; a form counts
+    only if it has several spellings. One row a document, however many look
+    alike. Null texts are no case; repeated rows and keys count once.
+    """
+    rows = documents.select(F.col(key).alias("key"), F.md5(canonical_text(F.col(text))).alias("form"), F.md5(text).alias("spelling")).where("form is not null")
+    rows = checkpointed(rows)  # hashes only; read twice below
+    # forms of many documents are counted map-side: a header page copied all over is one row a task
+    several = rows.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low < high").select("form")
+    members = rows.join(several, "form", "left_semi").distinct()
+    first = members.groupBy("form", "spelling").agg(F.min("key").alias("representative"))
+    return members.join(first, ["form", "spelling"])
+
+
 def look_alike_pairs(documents: DataFrame, *, key: str, text: str) -> DataFrame:
-    """Pairs ``(key_a, key_b)``, a before b, of texts that look the same and differ in stored characters.
+    """Pairs ``(key_a, key_b)``, a before b, of texts that look the same and differ in stored characters; cases as in :func:`look_alike_classes`."""
+    return class_pairs(look_alike_classes(documents, key=key, text=text))
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs ``(key_a, key_b)``, a before b, of documents of one form and different spellings, from :func:`look_alike_classes`.
 
-    Texts are grouped by the hash of their one form; a form counts only if it
-    has several stored spellings, and pairs are made between spellings, never
-    within one, so exact copies make no work. Null texts are no case; repeated
-    rows and keys count once.
+    Pairs are made between the spellings of a form, never within one; their
+    number is that of the result.
     """
-    rows = documents.select(F.col(key).alias("k"), F.md5(canonical_text(F.col(text))).alias("form"), F.md5(text).alias("spelling")).where("form is not null")
-    rows = checkpointed(rows)  # hashes only; read four times below
-    spellings = rows.groupBy("form").agg(F.min("spelling").alias("low"), F.max("spelling").alias("high")).where("low < high").select("form")
-    several = rows.join(spellings, "form", "left_semi")
-    kinds = several.select("form", "spelling").distinct()
+    classes = checkpointed(classes)
+    kinds = classes.select("form", "spelling").distinct()
     two = kinds.select("form", F.col("spelling").alias("sa")).join(kinds.select("form", F.col("spelling").alias("sb")), "form").where("sa <> sb")
-    left = several.select("form", F.col("spelling").alias("sa"), F.col("k").alias("key_a"))
-    right = several.select("form", F.col("spelling").alias("sb"), F.col("k").alias("key_b"))
+    left = classes.select("form", F.col("spelling").alias("sa"), F.col("key").alias("key_a"))
+    right = classes.select("form", F.col("spelling").alias("sb"), F.col("key").alias("key_b"))
     return two.join(left, ["form", "sa"]).join(right, ["form", "sb"]).where("key_a < key_b").select("key_a", "key_b").distinct()

@@ -86,6 +86,12 @@ def p8_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents", spread=True).select("doc_id", canonical.canonical_text("text").alias("text"))
 
 
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that look like one stored otherwise, by form and spelling."""
+    ship(spark)
+    return canonical.look_alike_classes(table(spark, folder, "documents", spread=True), key="doc_id", text="text").withColumnsRenamed({"key": "doc_id"})
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
     return canonical.look_alike_pairs(table(spark, folder, "documents", spread=True), key="doc_id", text="text").withColumnsRenamed({"key_a": "doc_id_a", "key_b": "doc_id_b"})
@@ -93,7 +99,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_paragraphs, p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_canonical)
+    for f in (p1_found, p1_paragraphs, p2_found, p2_units, p4_found, p4_neighbors, p5_found, p5_pieces, p6_containers, p7_found, p7_leaks, p8_found, p8_classes, p8_canonical)
 }
 
 _SPACE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"

@@ -65,3 +65,13 @@ def test_column_and_pairs(spark):
     assert got == {(1, 2), (2, 3), (5, 6)}
     assert cn.look_alike_pairs(df.limit(0), key="doc_id", text="text").count() == 0
     assert [x[0] for x in df.orderBy("doc_id").select(cn.canonical_text("text")).collect()][:5] == ["Café", "Café", "Café", None, ""]
+
+
+def test_classes(spark):
+    rows = [(1, "Café"), (2, "Cafe\u0301"), (3, "Café"), (4, None), (7, "x"), (7, "x"), (8, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x["key"], x["representative"]) for x in cn.look_alike_classes(df, key="doc_id", text="text").collect()}
+    assert got == {(1, 1), (3, 1), (2, 2)}
+    assert cn.look_alike_classes(df.limit(0), key="doc_id", text="text").count() == 0
+    many = spark.createDataFrame([(i, "page head" + "\u200b" * (i % 40)) for i in range(2000)], "doc_id long, text string")
+    assert cn.look_alike_classes(many, key="doc_id", text="text").count() == 2000  # a row a document, not a pair

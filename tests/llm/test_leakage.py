@@ -62,3 +62,24 @@ def test_index_finds_every_fingerprint_within_the_radius():
 def test_similarity_is_weighted_jaccard():
     a, b = np.array([[1, 2, 3]]), np.array([[2, 3, 4]])
     assert lk.similarity(a, np.array([[1, 2, 3]]), b, np.array([[2, 3, 5]]))[0] == 5 / (6 + 10 - 5)
+
+
+def test_edited_passages(spark):
+    """Windows with their last word changed: those reported are near, and their share is the one stated."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(1, 11)))
+    passages = [[word() for _ in range(12)] for _ in range(400)]
+    edited = [[*p[:11], word()] for p in passages]
+    it = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(passages)], "item_id long, passage string")
+    df = spark.createDataFrame([(i, " ".join(p)) for i, p in enumerate(edited)], "doc_id long, text string")
+    got = lk.leaked_passages(df, it, doc_id="doc_id", text="text", item_id="item_id", passage="passage").collect()
+    assert all(x["doc_id"] == x["item_id"] and x["n_near"] == 1 and x["n_exact"] == 0 for x in got)
+
+    def alike(a, b):
+        shingles = lambda w: {tuple(w[i : i + 5]): sum(map(len, w[i : i + 5])) for i in range(8)}
+        x, y = shingles(a), shingles(b)
+        shared = sum(n for s, n in x.items() if s in y)
+        return shared / (sum(x.values()) + sum(y.values()) - shared)
+
+    near = {i for i in range(400) if alike(passages[i], edited[i]) >= 0.8}
+    assert {x["doc_id"] for x in got} <= near and 0.1 * len(near) < len(got) < 0.4 * len(near)
