@@ -87,7 +87,7 @@ def table(spark: SparkSession, folder: str, name: str, spread: bool = False) ->
     Only tables of at most ``SPREAD`` bytes are moved; larger ones are read as they lie.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    if not spread or int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SPREAD:
+    if not spread or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD:
         return df
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
