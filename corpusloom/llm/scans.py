@@ -161,7 +161,8 @@ class Lexicon:
             out = [(word, AS_MEANT if odd(word) else 0.0, [])]
             if not word.isdigit():
                 others = self.alternatives(word)
-                out += others
+                # a word never seen but by misreading has the least chance there is: it loses to a word read as meant, so is no candidate beside one
+                out += others if odd(word) else [x for x in others if self.supposed(x[0]) > UNSEEN]
                 if not others and (plain := _plain(word, self.cost)):
                     out.append(plain)
             self.choice[word] = out
@@ -341,6 +342,8 @@ def edge_lines(lines: list[tuple[int, int, str]]) -> list[tuple[int, int, str, s
 
 def broken_word(line: str) -> tuple[str, str] | None:
     """Beginning of a word and the sign after it at the end of a line."""
+    if line.rstrip()[-1:] not in SIGNS:
+        return None
     m = BROKEN.search(line)
     if not m or not m.group(1)[-1:].isalpha() and m.group(1)[-1:] not in "@015":
         return None
@@ -361,8 +364,18 @@ def is_split(begin: str, sign: str, end: str, lex: Lexicon) -> bool:
     return not (lex.words.get(a, 0) > 1 and lex.words.get(b, 0) > 1 and len(b) > 3)
 
 
-#: Fixed value: what ends a sentence or leads to a list.
-ENDED = re.compile(r"[.!?…:。！？][\"'”’»)\]]*\s*$")
+def ended(text: str) -> bool:
+    """Does a text end with the end of a sentence, or with what leads to a list?"""
+    return text.rstrip().rstrip("\"'”’»)]")[-1:] in ENDS
+
+
+def tied_word(text: str) -> bool:
+    """Does a text end with a letter and a hyphen?"""
+    return text[-1:] in ("-", "‐") and text[-2:-1].isalpha()
+
+
+# Fixed value: what ends a sentence or leads to a list.
+ENDS = tuple(".!?…:。！？")
 
 
 class Line:
@@ -428,7 +441,7 @@ def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexi
         if first and is_split(*cut, first.group(), lex):
             held, cut_before = first.end(), True
     for i, line in enumerate(lines):
-        text, spans = line.text, [(m.start(), m.end()) for m in TOKEN.finditer(line.text) if m.start() >= held]
+        text, spans = line.text, [x for m in TOKEN.finditer(line.text) if (x := m.span())[0] >= held]
         tail, cut = "", broken_word(text)
         k = i + 1
         while cut and k < len(lines) and not re.search(r"[^\W\d_]", lines[k].text):
@@ -446,6 +459,8 @@ def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexi
         words = decoded(tokens, lex) if tokens else []
         new, at = [], held
         for (a, b), token, (word, wrong) in zip(spans, tokens, words):
+            if not wrong and not (split and b == spans[-1][1]):
+                continue  # it stays as it stands
             for w in wrong:
                 if a + w < b:
                     noise.append((line.block, line.no, "wrong_char"))
@@ -462,20 +477,22 @@ def repaired(lines: list[Line], before: str | None, after: str | None, lex: Lexi
         held = len(skip) if skip and k == i + 1 else 0
         if skip and k < len(lines) and k > i + 1:
             lines[k].text = lines[k].text[len(skip) :].lstrip()
-    paragraphs: list[str] = []
+    parts: list[list[str]] = []
     for line, text in zip(lines, texts):
         if not text:
             continue
-        if paragraphs and (not line.gap or (not ENDED.search(paragraphs[-1]) and text[:1].islower())):
-            tied = re.search(r"[^\W\d_][-‐]$", paragraphs[-1]) and text[:1].islower()
-            paragraphs[-1] += ("" if tied or text[:1] in ".,;:!?" else " ") + text
+        last = parts[-1][-1] if parts else ""
+        if parts and (not line.gap or (not ended(last) and text[:1].islower())):
+            tied = tied_word(last) and text[:1].islower()
+            parts[-1] += ["" if tied or text[:1] in ".,;:!?" else " ", text]
         else:
-            paragraphs.append(text)
+            parts.append([text])
+    paragraphs = ["".join(p) for p in parts]
     glue = None
-    if before is not None and lines and not ENDED.search(before):
+    if before is not None and lines and not ended(before):
         width = sorted(len(x.text) for x in lines)[len(lines) // 2]
         first = next((t for t in texts if t), "")
-        tied = re.search(r"[^\W\d_][-‐]$", before) is not None and first[:1].islower()
+        tied = tied_word(before) and first[:1].islower()
         # a heading is short; a line of running text fills its width, whatever follows
         if tied or cut_before or first[:1].islower() or len(before) >= 0.7 * width:
             glue = "" if (tied and not cut_before) or first[:1] in ".,;:!?" else " "
