@@ -18,6 +18,7 @@ needs of them is then looked up, so time grows with the length of the text.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -70,6 +71,8 @@ DOTTED = re.compile(r"(?<![^\s(])(?:[^\W\d]\.\s?)+[^\W\d]")
 LISTED = re.compile(rf"(?:^|[{BREAK}])\s*\(?(?:\d{{1,3}}|[a-zA-Z])(?=[{re.escape(FINAL)}])")
 SOLID = re.compile(rf"[^{re.escape(FINAL)} \u00a0\u202f]+")
 SPACES = re.compile(r"\s*")
+INK = re.compile(r"\S+")
+QUOTES = re.compile(r"[\"“”„«»‹›()\[\]{}「」『』（）【】〔〕《》]")
 KERNEL = re.compile(rf"[^{re.escape(FINAL + CLOSERS)} \u00a0]+")
 BULLET = re.compile(r"[-–•*·◦▪‣]\s")
 NUMBER = re.compile(r"\(?(?:\d{1,3}|[०-९]{1,3}|[a-z])[.)]\s")
@@ -103,14 +106,11 @@ class Runs:
 
 
 class Outline:
-    """What the places of a paragraph look up in it, read once."""
+    """What the places of a paragraph look up in it, each read once and only if asked for."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.words, self.lasts, self.letters, self.names = Runs(WORD, text), Runs(LAST, text), Runs(LETTERS, text), Runs(NAME, text)
-        self.solid, self.ink, self.dotted = Runs(SOLID, text), Runs(re.compile(r"\S+"), text), Runs(DOTTED, text)
-        self.listed = {m.end() for m in LISTED.finditer(text)}
-        self.signs = {x: [m.start() for m in re.finditer(x, text)] for x in "„“\""}
+        self.signs = {x: [m.start() for m in re.finditer(x, text)] if x in text else [] for x in "„“\""}
         spans = quoted(text)
         self.opened = {b: a for a, b in spans}
         self.covered: list[list[int]] = []  # merged spans, the opening sign left out
@@ -120,6 +120,15 @@ class Outline:
             else:
                 self.covered.append([a, b])
 
+    words = functools.cached_property(lambda self: Runs(WORD, self.text))
+    lasts = functools.cached_property(lambda self: Runs(LAST, self.text))
+    letters = functools.cached_property(lambda self: Runs(LETTERS, self.text))
+    names = functools.cached_property(lambda self: Runs(NAME, self.text))
+    solid = functools.cached_property(lambda self: Runs(SOLID, self.text))
+    ink = functools.cached_property(lambda self: Runs(INK, self.text))
+    dotted = functools.cached_property(lambda self: Runs(DOTTED, self.text))
+    listed = functools.cached_property(lambda self: {m.end() for m in LISTED.finditer(self.text)})
+
     def inside(self, end: int) -> bool:
         k = bisect_left(self.covered, [end]) - 1
         return k >= 0 and end <= self.covered[k][1]
@@ -145,6 +154,8 @@ class Outline:
 
     def abbreviation(self, end: int) -> tuple[int, int] | None:
         """Letters with points between them that end at ``end``."""
+        if end < 2 or not (self.text[end - 2] == "." or (self.text[end - 2].isspace() and self.text[end - 3 : end - 2] == ".")):
+            return None
         run = self.dotted.before(end)
         return run if run and run[1] == end and end - run[0] > 1 and self.text[end - 1].isalpha() else None
 
@@ -159,6 +170,8 @@ class Outline:
 
 def quoted(text: str) -> list[tuple[int, int]]:
     """Spans from opening to closing sign of the matched quotes and brackets of a paragraph."""
+    if not QUOTES.search(text):
+        return []
     spans, stack, waiting = [], [], Counter()  # signs that would close something open
 
     def push(at: int, close: str) -> None:
@@ -169,7 +182,7 @@ def quoted(text: str) -> list[tuple[int, int]]:
         waiting.subtract(stack[-1][1])
         return stack.pop()
 
-    for m in re.finditer(r"[\"“”„«»‹›()\[\]{}「」『』（）【】〔〕《》]", text):
+    for m in QUOTES.finditer(text):
         ch, at = m.group(), m.start()
         if stack and ch in stack[-1][1]:
             spans.append((pop()[0], at))
@@ -265,12 +278,11 @@ def _describe(o: Outline, p: Place) -> None:
             token = "initials" if token.isupper() and kind == "U" else token.casefold()
         initial = len(token) == 1 and token.isalpha() and m == "."
         short = "title" if m == "." and (token in LEADING or token == "initials") else "end" if m == "." and token in ENDING else "tail" if m == "." and (token in TRAILING or dotted) else "one" if initial else "num" if token.isdigit() else "word"
-        listed = m == "." and body in o.listed
+        listed = m == "." and len(prev) < 4 and body in o.listed
         month = m == "." and short == "num" and first.casefold() in MONTHS
         dash = text[p.next] in DASHES and not bullet
-        run = o.letters.before(body)
-        letter = text[run[1] - 1] if run else ""
-        switched = kind in ("h", "t", "c") and bool(letter) and script(letter) == "cased" and not short.startswith(("title", "tail"))
+        run = o.letters.before(body) if kind in ("h", "t", "c") else None
+        switched = run is not None and script(text[run[1] - 1]) == "cased" and short not in ("title", "tail")
         f += [f"m:{m}|{quote}|{kind}|{p.kind}", f"m:{m}|{short}|{kind}|{listed}|{month}", f"q:{quote}|{kind}", f"s:{short}|{kind}", f"dash:{dash}|{kind}", f"bul:{bullet}{number}"]
         # what rules say
         if listed or month:
