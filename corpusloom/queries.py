@@ -581,6 +581,22 @@ def upsert_chunks(spark, folder):
     return store.upserted(old, new, "id")
 
 
+@query("""
+select strategy, (select count(*) from documents where regexp_matches(text, '\\S')) as n_docs, 0 as n_gaps, 0 as n_blank
+from unnest(['recursive', 'semantic', 'sliding_window', 'token_based', 'markdown', 'hierarchical', 'code', 'composite']) as u(strategy)
+""")
+def chunk_coverage(spark, folder):
+    """Every chunker leaves no document out, numbers its chunks without gaps and makes no blank ones."""
+    docs = table(spark, folder, "documents", spread=True).select(F.col("doc_id").cast("string").alias("source_id"), "text")
+    out = None
+    for name in ("recursive", "semantic", "sliding_window", "token_based", "markdown", "hierarchical", "code", "composite"):
+        chunks = chunking.chunk_documents(docs, cfg=chunking.ChunkConfig(strategy=name, largest=128, smallest=20, overlap=16))
+        each = chunks.groupBy("source_id").agg((F.max("chunk_index") + 1 - F.count("*")).alias("gaps"), F.count(F.when(F.length(F.trim("text")) == 0, 1)).alias("blank"))
+        row = each.agg(F.count("*").alias("n_docs"), F.sum("gaps").alias("n_gaps"), F.sum("blank").alias("n_blank")).select(F.lit(name).alias("strategy"), "n_docs", "n_gaps", "n_blank")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 # ---- whole pipelines
 
 
@@ -601,6 +617,17 @@ def ingest_loaded_pages(spark, folder):
     return ingest_pages(loaded, cfg=chunking.ChunkConfig(strategy="recursive", largest=256, smallest=40, overlap=16)).select("id", "source_id", "page", "chunk_index", "token_count", "previous_id", "next_id")
 
 
+@query("""
+with p as (select distinct source_id, n, pages[n] as t from loaded_documents, unnest(range(1, len(pages) + 1)) as u(n))
+select source_id, count(distinct n) as n_pages, min(n) as first_page, max(n) as last_page, 0 as first_index from p where regexp_matches(t, '\\S') group by all
+""")
+def ingest_pages_coverage(spark, folder):
+    """Every page that is not blank is ingested, and every source numbered from 0."""
+    loaded = table(spark, folder, "loaded_documents").dropDuplicates(["loaded_id"])
+    chunks = ingest_pages(loaded, cfg=chunking.ChunkConfig(strategy="recursive", largest=256, smallest=40, overlap=16))
+    return chunks.groupBy("source_id").agg(F.countDistinct("page").alias("n_pages"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min("chunk_index").alias("first_index"))
+
+
 @query()
 def hybrid_search(spark, folder):
     chunks = _search_chunks(spark, folder)
